@@ -115,14 +115,14 @@ def spline_basis(spark, d):
 @query(
     "m9_tensor_interaction",
     sql(
-        f"SELECT game_id, {rd('z * w AS t1', 'z * pow(greatest(w - 0.25, 0), 3) AS t2', 'pow(greatest(z, 0), 3) * w AS t3', 'pow(greatest(z, 0), 3) * pow(greatest(w - 0.25, 0), 3) AS t4')} FROM (SELECT *, {_Z} AS z, {_W} AS w FROM predictions)",
+        f"SELECT game_id, {rd('z * w AS t1', 'z * k AS t2', 'j * w AS t3', 'j * k AS t4', digits=9)} FROM (SELECT *, {_Z} AS z, {_W} AS w, pow(greatest(z, 0), 3) AS j, pow(greatest(w - 0.25, 0), 3) AS k FROM predictions)",
         "predictions",
     ),
 )
 def tensor_interaction(spark, d):
     basis = X.tensor_interaction(_SMOOTH, _OTHER)
     rows = fx.predictions(spark, d)
-    return rounded(rows.select("game_id", *[b.column.alias(f"t{i}") for i, b in enumerate(basis, start=1)]))
+    return rounded(rows.select("game_id", *[b.column.alias(f"t{i}") for i, b in enumerate(basis, start=1)]), 9)
 
 
 def _preseason(spark, d):

@@ -67,7 +67,7 @@ def _scenario_teams(spark, d):
     """(sim, week, team, alpha, beta): every team of every week, per scenario."""
     games = fx.games(spark, d)
     teams = games.select("week", F.explode(F.array("home_team", "away_team")).alias("team")).distinct()
-    rows = teams.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(SIMS))).cast("long"))
+    rows = teams.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(SIMS))))
     return R.inner_join_on(rows, fx.strengths(spark, d), ["team"])
 
 
@@ -185,7 +185,7 @@ def scenario_inner_join(spark, d):
 
     ratings = (
         fx.strengths(spark, d)
-        .withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(SIMS))).cast("long"))
+        .withColumn("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(SIMS).cast("long"))))
         .select("sim", "team", uniform_draw("sim", "team", seed=3).alias("pre_game_strength"))
     )
     rows = R.scenario_inner_join(scenario(spark, d), ratings)

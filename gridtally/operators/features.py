@@ -145,7 +145,7 @@ def tensor_interaction(a: Smooth, b: Smooth, block: str | None = None) -> list[B
         return [z, f"{gap} * {gap} * {gap}"]
 
     return [
-        Basis(f"{a.column}:{b.column}.{i}{j}", f"{x} * {y}", block)
+        Basis(f"{a.column}:{b.column}.{i}{j}", f"({x}) * ({y})", block)
         for i, x in enumerate(margin(a), start=1)
         for j, y in enumerate(margin(b), start=1)
     ]

@@ -42,14 +42,18 @@ def scenario_expand(
     blocks = max(1, -(-n_sims // sims_per_block))
     spark = schedule.sparkSession
     tasks = min(blocks * chunks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    first = F.explode(F.sequence(F.lit(1), F.lit(n_sims), F.lit(sims_per_block)))
+
+    def long(n: int):
+        return F.lit(n).cast("long")
+
+    first = F.explode(F.sequence(long(1), long(n_sims), long(sims_per_block)))
     spread = schedule.select(first.alias("__first"), "*").withColumn(
         "__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
     )
-    last = F.least(F.col("__first") + (sims_per_block - 1), F.lit(n_sims))
+    last = F.least(F.col("__first") + long(sims_per_block - 1), long(n_sims))
     return (
         spread.repartition(tasks, "__first", "__chunk")
-        .select(F.explode(F.sequence(F.col("__first"), last)).cast("long").alias("sim"), *schedule.columns)
+        .select(F.explode(F.sequence(F.col("__first"), last)).alias("sim"), *schedule.columns)
     )
 
 
