@@ -12,6 +12,7 @@ from ..plans import ratings as P
 from ..plans import strength as T
 from ..operators.splits import kfold
 from ..sources import fixtures as fx
+from ..sources import tables as src
 from . import query
 from .views import rd, rounded, sql
 
@@ -62,20 +63,28 @@ _OLS = {
 }
 
 
-@query(
-    "m5_linear_fit",
-    sql(
-        f"SELECT unnest(['(intercept)', 'week', 'div_game', 'estimate']) AS term, {rd('unnest([my - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3]) AS estimate')} FROM b",
-        "games",
-        "predictions",
-        **_OLS,
-    ),
+_COEFFICIENTS = sql(
+    f"SELECT unnest(['(intercept)', 'week', 'div_game', 'estimate']) AS term, {rd('unnest([my - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3]) AS estimate')} FROM b",
+    "games",
+    "predictions",
+    **_OLS,
 )
+
+
+@query("m5_linear_fit", _COEFFICIENTS)
 def linear_fit(spark, d):
     model = M.linear_fit(_games(spark, d), "result", ["week", "div_game", "estimate"])
     return rounded(model.to_frame(spark).select("term", "estimate"))
 
 
+@query("a6_model_write", _COEFFICIENTS)
+def model_write(spark, d):
+    """A fitted model written, read back, and shown."""
+    path = src.shared_folder(spark)
+    src.model_write(spark, M.linear_fit(_games(spark, d), "result", ["week", "div_game", "estimate"]), path)
+    return rounded(src.model_read(spark, path).to_frame(spark).select("term", "estimate"))
+
+
 @query(
     "m6_residual_sigma",
     sql(f"SELECT {rd('sqrt(sum((truth - estimate) * (truth - estimate)) / (count(*) - 2)) AS sigma')} FROM predictions WHERE truth IS NOT NULL", "predictions"),
@@ -130,6 +139,161 @@ def _preseason(spark, d):
     return P.preseason_inputs(final, fx.ratings(spark, d), codes={})
 
 
+@query(
+    "m10_random_effect_basis",
+    sql(
+        f"SELECT game_id, CAST(home_team = 'NATION_3' AS DOUBLE) AS r1, CAST(home_team = 'NATION_4' AS DOUBLE) AS r2, {rd('CASE WHEN home_team = $$NATION_3$$ THEN (week - 10.0) / 5.0 ELSE 0 END AS r3', 'CASE WHEN home_team = $$NATION_4$$ THEN (week - 10.0) / 5.0 ELSE 0 END AS r4')} FROM games",
+        "games",
+    ),
+)
+def random_effect_basis(spark, d):
+    levels = ["NATION_3", "NATION_4"]
+    basis = [*X.random_effect("home_team", levels), *X.random_effect("home_team", levels, _OTHER)]
+    rows = fx.games(spark, d)
+    return rounded(rows.select("game_id", *[b.column.alias(f"r{i}") for i, b in enumerate(basis, start=1)]))
+
+
+# A two-column logit fit (intercept and scaled rating) by reweighted least squares, unrolled:
+# each step solves a 2 x 2 system from sums over the rows. Penalty on the slope only.
+_STEPS = 8
+
+
+def _solved(gram: str, penalty: str) -> str:
+    """Coefficients and inverse Gram matrix from the sums s0, s1, s2 (weights) and t0, t1."""
+    return f"""
+    SELECT (t0 * k - s1 * t1) / det AS b0, (s0 * t1 - s1 * t0) / det AS b1, k / det AS v00, -s1 / det AS v01, s0 / det AS v11,
+           s0, s1, s2, extra FROM (SELECT *, s2 + {penalty} AS k, s0 * k - s1 * s1 AS det FROM ({gram}))"""
+
+
+def _sums(source: str) -> str:
+    return f"""
+    SELECT sum(w) AS s0, sum(w * z) AS s1, sum(w * z * z) AS s2, sum(w * eta + y - mu) AS t0, sum(w * z * eta + z * (y - mu)) AS t1,
+           struct_pack(n := count(*), pearson := sum((y - mu) * (y - mu) / w)) AS extra
+    FROM (SELECT *, mu * (1 - mu) AS w FROM ({source}))"""
+
+
+def _logit_steps(penalty: str) -> dict[str, str]:
+    start = "SELECT y, z, (y + 0.5) / 2 AS mu, ln(((y + 0.5) / 2) / (1 - (y + 0.5) / 2)) AS eta FROM data"
+    out = {
+        "data": "SELECT season, team, final_wp AS y, (elo - 1500.0) / 100.0 AS z FROM inputs",
+        "step0": _solved(_sums(start), penalty),
+    }
+    for i in range(1, _STEPS + 1):
+        at = f"SELECT y, z, b0 + b1 * z AS eta, 1 / (1 + exp(-(b0 + b1 * z))) AS mu FROM data CROSS JOIN step{i - 1}"
+        out[f"step{i}"] = _solved(_sums(at), penalty)
+    return out
+
+
+_INPUTS = """
+SELECT f.season, f.team, p.final_wp AS prev_season_wp, r.elo, f.final_wp
+FROM final f JOIN final p ON f.team = p.team AND f.season = p.season + 1
+JOIN rated r ON f.season = r.season AND f.team = r.team
+WHERE r."date" = (SELECT min("date") FROM rated x WHERE x.season = r.season AND x.team = r.team)"""
+
+_LINE = X.Basis("elo", "((`elo` - 1500.0D) / 100.0D)", "s(elo)")
+_LAST = f"step{_STEPS}"
+
+
+def _line_fit(spark, d, quasi: bool):
+    inputs = _preseason(spark, d)
+    return inputs, M.smooth_fit(inputs, "final_wp", [_LINE], 2.0, quasi=quasi)
+
+
+@query(
+    "m11_binomial_fit_line",
+    sql(
+        f"SELECT unnest(['(intercept)', 'elo']) AS term, {rd('unnest([b0, b1]) AS estimate', 'unnest([sqrt(v00), sqrt(v11)]) AS std_error')} FROM {_LAST}",
+        "final",
+        "rated",
+        inputs=_INPUTS,
+        **_logit_steps("2.0"),
+    ),
+)
+def binomial_fit_line(spark, d):
+    _, model = _line_fit(spark, d, quasi=False)
+    rows = model.to_frame(spark)
+    return rounded(rows.select("term", "estimate", F.sqrt(F.expr("covariance[pos]")).alias("std_error")))
+
+
+_DISPERSION = "extra.pearson / (extra.n - (v00 * s0 + 2 * v01 * s1 + v11 * s2))"
+
+
+@query(
+    "m12_quasibinomial_fit_line",
+    sql(
+        f"SELECT unnest(['(intercept)', 'elo']) AS term, {rd('unnest([b0, b1]) AS estimate', f'unnest([sqrt(v00 * phi), sqrt(v11 * phi)]) AS std_error', 'phi AS dispersion')} FROM (SELECT *, {_DISPERSION} AS phi FROM {_LAST})",
+        "final",
+        "rated",
+        inputs=_INPUTS,
+        **_logit_steps("2.0"),
+    ),
+)
+def quasibinomial_fit_line(spark, d):
+    _, model = _line_fit(spark, d, quasi=True)
+    rows = model.to_frame(spark)
+    return rounded(
+        rows.select("term", "estimate", F.sqrt(F.expr("covariance[pos]")).alias("std_error"), "dispersion")
+    )
+
+
+_Q = "1.959963984540054"
+
+
+@query(
+    "m13_predict_with_se_line",
+    sql(
+        f"""SELECT season, team, elo, {rd('mu AS pred', 'mu * (1 - mu) * se AS std_error', f'1 / (1 + exp(-(eta - {_Q} * se))) AS pred_lower', f'1 / (1 + exp(-(eta + {_Q} * se))) AS pred_upper')}
+            FROM (SELECT *, 1 / (1 + exp(-eta)) AS mu FROM (
+              SELECT season, team, z * 100 + 1500 AS elo, b0 + b1 * z AS eta, sqrt(v00 + 2 * v01 * z + v11 * z * z) AS se
+              FROM data CROSS JOIN {_LAST}))""",
+        "final",
+        "rated",
+        inputs=_INPUTS,
+        **_logit_steps("2.0"),
+    ),
+)
+def predict_with_se_line(spark, d):
+    inputs, model = _line_fit(spark, d, quasi=False)
+    rows = model.predict_with_se(inputs)
+    return rounded(rows.select("season", "team", "elo", "pred", "std_error", "pred_lower", "pred_upper"))
+
+
+_GRID = [0.1, 1.0, 10.0, 100.0]
+
+
+def _grid_text() -> str:
+    """Cross-validated rmse: fold sums at the fit of all folds, one solve per fold and candidate."""
+    bucket = "CAST('0x' || substr(md5('11|' || season || '|' || team), 1, 8) AS BIGINT) % 10 + 1"
+    steps = _logit_steps("1.0")
+    views = {
+        **steps,
+        "at_fit": f"SELECT {bucket} AS fold, y, z, b0 + b1 * z AS eta, 1 / (1 + exp(-(b0 + b1 * z))) AS mu FROM data CROSS JOIN {_LAST}",
+        "weighted": "SELECT *, mu * (1 - mu) AS w FROM at_fit",
+        "fold_sums": """SELECT fold, sum(w) AS s0, sum(w * z) AS s1, sum(w * z * z) AS s2, sum(w * eta + y - mu) AS t0,
+                               sum(w * z * eta + z * (y - mu)) AS t1 FROM weighted GROUP BY fold""",
+        "rest": """SELECT f.fold, sum(o.s0) AS s0, sum(o.s1) AS s1, sum(o.s2) AS s2, sum(o.t0) AS t0, sum(o.t1) AS t1
+                   FROM fold_sums f JOIN fold_sums o ON o.fold <> f.fold GROUP BY f.fold""",
+        "grid": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {g}::DOUBLE)" for i, g in enumerate(_GRID, start=1)) + ") g(candidate, smoothing)",
+        "betas": """SELECT fold, candidate, smoothing, (t0 * k - s1 * t1) / det AS b0, (s0 * t1 - s1 * t0) / det AS b1
+                    FROM (SELECT *, s2 + smoothing AS k, s0 * k - s1 * s1 AS det FROM rest CROSS JOIN grid)""",
+        "by_fold": """SELECT candidate, smoothing, fold, sqrt(avg(pow(y - 1 / (1 + exp(-(b0 + b1 * z))), 2))) AS rmse
+                      FROM at_fit JOIN betas USING (fold) GROUP BY ALL""",
+    }
+    return sql(
+        f"SELECT candidate, smoothing, {rd('avg(rmse) AS rmse')}, CAST(count(*) AS INTEGER) AS folds, {rd('stddev_samp(rmse) / sqrt(count(*)) AS std_err')} FROM by_fold GROUP BY candidate, smoothing",
+        "final",
+        "rated",
+        inputs=_INPUTS,
+        **views,
+    )
+
+
+@query("m14_grid_search_line", _grid_text())
+def grid_search_line(spark, d):
+    inputs = kfold(_preseason(spark, d), ["season", "team"], 11)
+    return rounded(M.grid_search(inputs, "final_wp", [_LINE], grid=_GRID))
+
+
 @query("m10_random_effect")
 def random_effect(spark, d):
     """Shrunken team intercepts and slopes over seasons of the share of wins."""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import columns as C
 from ..operators import features as X
-from ..operators import fit as M
 from ..operators import relate as R
 from ..operators import reshape as E
 from ..plans import history as H
@@ -67,14 +66,6 @@ def snapshot_write(spark, d):
     return rounded(src.table_read(spark, path))
 
 
-@query("a6_model_write")
-def model_write(spark, d):
-    path = src.shared_folder(spark)
-    rows = fx.predictions(spark, d)
-    src.model_write(spark, M.linear_fit(rows, "truth", ["estimate", "week"]), path)
-    return rounded(src.model_read(spark, path).predict(rows))
-
-
 @query(
     "a7_dim_lookup",
     sql("SELECT game_id, home_team, preferred_color, team_color FROM games LEFT JOIN colors ON home_team = team_abbr", "games", "colors"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col
 from .columns import require
-from .ordered import HOT_ROWS, attach, dense_position, group_sum, ordered, running_sum
+from .ordered import HOT_ROWS, attach, dense_position, group_sum, ordered, running_count, running_sum
 
 # A lookup table is broadcast only when counting it (no further than this) shows it is small.
 BROADCAST_ROWS = 100_000
@@ -161,22 +161,32 @@ def earliest_per_group(df: DataFrame, keys: Sequence[str], order: str) -> DataFr
     return _extreme_per_group(df, keys, order, F.min)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact median per group, from counts of distinct values.
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Exact quantiles per group (linear between neighbours), one column per entry of ``probs``.
 
-    Equal values are combined before the shuffle, and the running count over the distinct
-    values of a group is cut into blocks when a group has too many of them.
+    Works on counts of distinct values: equal values are combined before the shuffle, and the
+    running count over the distinct values of a group is cut into blocks when there are too
+    many of them, so no task has to hold the values of a group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     placed = ordered(counts, keys, [value], hot_rows).running(__to=running_sum("__c"), __n=group_sum("__c")).frame
-    low = F.floor((F.col("__n") + 1) / 2)
-    high = F.floor((F.col("__n") + 2) / 2)
-    after = F.col("__to") - F.col("__c")
+    after, upto, v = F.col("__to") - F.col("__c"), F.col("__to"), F.col(value).cast("double")
 
     def pick(at: Column) -> Column:
-        return F.max(F.when((after < at) & (F.col("__to") >= at), F.col(value)))
+        return F.max(F.when((after <= at) & (upto > at), v))
+
+    columns = []
+    for name, p in probs.items():
+        at = (F.col("__n") - 1) * F.lit(float(p))
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        columns.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*keys).agg(*columns)
 
-    return placed.groupBy(*keys).agg(((pick(low) + pick(high)) / 2.0).alias(name))
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", hot_rows: int = HOT_ROWS) -> DataFrame:
+    return exact_quantiles(df, keys, value, {name: 0.5}, hot_rows)
 
 
 def level_reorder(
@@ -202,26 +212,22 @@ def level_reorder(
 
 
 def level_table(
-    df: DataFrame, value: str, period: Sequence[str], within: Sequence[str], name: str = "ord"
+    df: DataFrame, value: str, order: Sequence[str], name: str = "ord", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Distinct values numbered by first appearance (``period`` then ``within`` order).
+    """Distinct values numbered by first appearance in the given order.
 
-    First appearances are aggregated per value before anything is shuffled; numbering is a
-    running count inside each period plus the count of the periods before, so the only
-    unpartitioned window runs over the list of periods.
+    First appearances are aggregated per value before anything is shuffled; the numbering runs
+    over distinct values, and is cut into blocks beyond ``hot_rows`` of them.
     """
-    require(df, value, *period, *within)
+    require(df, value, *order)
     first = (
         df.where(F.col(value).isNotNull())
         .groupBy(value)
-        .agg(F.min(F.struct(*period, *within)).alias("__at"))
-        .select(value, *[F.col("__at").getField(c).alias(c) for c in [*period, *within]])
+        .agg(F.min(F.struct(*order)).alias("__at"))
+        .select(value, *[F.col("__at").getField(c).alias(c) for c in order])
     )
-    sizes = first.groupBy(*period).agg(F.count(F.lit(1)).alias("__size"))
-    seq = Window.orderBy(*period).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*period, F.coalesce(F.sum("__size").over(seq), F.lit(0)).alias("__start"))
-    local = F.row_number().over(Window.partitionBy(*period).orderBy(*within, value))
-    return first.join(starts, list(period)).select(value, (F.col("__start") + local).cast("int").alias(name))
+    rows = ordered(first, [], [*order, value], hot_rows).running(**{name: running_count()}).frame
+    return rows.select(value, name)
 
 
 def known_levels(df: DataFrame, name: str, levels: DataFrame, level: str = "team") -> DataFrame:

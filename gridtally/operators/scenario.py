@@ -15,45 +15,56 @@ from ..functions.draws import draw_beta, draw_normal
 from ..functions.scalars import compose_key, if_else, round_away
 from .columns import require
 from .fit import LinearModel
-from .relate import fits_broadcast, join_renamed_key, role_playing_join
+from .relate import (
+    fits_broadcast,
+    inner_join_on,
+    join_renamed_key,
+    role_playing_join,
+    scenario_inner_join,
+)
 from .reshape import unpivot_simple
 
 SCENARIOS = 10_000
 SIMS_PER_BLOCK = 50
 GAMES_PER_CHUNK = 20_000
+SMALLEST_CHUNK = 1_000
 
 
-def scenario_expand(
-    schedule: DataFrame,
-    n_sims: int = SCENARIOS,
-    key: str = "game_id",
-    sims_per_block: int = SIMS_PER_BLOCK,
-    games_per_chunk: int = GAMES_PER_CHUNK,
-) -> DataFrame:
+def _layout(n_sims: int, n_games: int, tasks: int) -> tuple[int, int]:
+    """(scenarios per block, chunks of games): enough pieces for ``tasks``, whole scenarios
+    together where that still leaves enough."""
+    per_block = max(1, min(SIMS_PER_BLOCK, n_sims // max(tasks, 1), n_sims), min(10, n_sims))
+    blocks = -(-n_sims // per_block)
+    most = max(1, -(-n_games // SMALLEST_CHUNK))
+    chunks = max(-(-n_games // GAMES_PER_CHUNK), min(-(-tasks // blocks), most), 1)
+    return per_block, chunks
+
+
+def scenario_expand(schedule: DataFrame, n_sims: int = SCENARIOS, key: str = "game_id") -> DataFrame:
     """Every game of the schedule once per scenario (``sim`` 1 to ``n_sims``).
 
     Rows are spread while they are few: each game is first repeated per block of scenarios and
     hashed on (block, chunk of games), and only then opened into single scenarios, inside the
-    task. All games of a scenario share a task as long as the schedule has at most
-    ``games_per_chunk`` games; a longer schedule is cut into chunks by game.
+    task. All games of a scenario share a task unless the schedule is long or there are too
+    few scenarios to keep the tasks busy; then the games are cut into chunks.
     """
     require(schedule, key)
-    chunks = max(1, -(-schedule.count() // games_per_chunk))
-    blocks = max(1, -(-n_sims // sims_per_block))
     spark = schedule.sparkSession
-    tasks = min(blocks * chunks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n_games = schedule.count()
+    per_block, chunks = _layout(n_sims, n_games, width)
+    tasks = min(-(-n_sims // per_block) * chunks, 4 * width)
 
     def long(n: int):
         return F.lit(n).cast("long")
 
-    first = F.explode(F.sequence(long(1), long(n_sims), long(sims_per_block)))
+    first = F.explode(F.sequence(long(1), long(n_sims), long(per_block)))
     spread = schedule.select(first.alias("__first"), "*").withColumn(
         "__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
     )
-    last = F.least(F.col("__first") + long(sims_per_block - 1), long(n_sims))
-    return (
-        spread.repartition(tasks, "__first", "__chunk")
-        .select(F.explode(F.sequence(F.col("__first"), last)).alias("sim"), *schedule.columns)
+    last = F.least(F.col("__first") + long(per_block - 1), long(n_sims))
+    return spread.repartition(tasks, "__first", "__chunk").select(
+        F.explode(F.sequence(F.col("__first"), last)).alias("sim"), *schedule.columns
     )
 
 
@@ -129,6 +140,15 @@ def fill_results(games: DataFrame, week: int | None = None) -> DataFrame:
     return games.withColumn("result", F.when(open_game, drawn).otherwise(F.col("result").cast("int")))
 
 
+def _with_margin(games: DataFrame, model: LinearModel, sigma: float, seed: int, key: str) -> DataFrame:
+    rows = matchup_features(games)
+    for name in model.features:
+        a, _, b = name.partition("_x_")
+        if b and name not in rows.columns:
+            rows = rows.withColumn(name, F.col(a) * F.col(b))
+    return draw_margins(model.predict(rows), sigma, seed, key)
+
+
 def simulate_results(
     games: DataFrame,
     strengths: DataFrame,
@@ -138,16 +158,37 @@ def simulate_results(
     week: int | None = None,
     key: str = "game_id",
 ) -> DataFrame:
-    """Scenario games with open results filled: draw strengths, predict, draw margins, fill."""
-    columns = games.columns
+    """Scenario games with open results filled: draw strengths, predict, draw margins, fill.
+
+    Everything happens on the game row, so nothing but a small table of strengths is joined.
+    """
     rows = draw_game_strengths(attach_strengths(games, strengths), seed)
-    rows = matchup_features(rows)
-    for name in model.features:
-        a, _, b = name.partition("_x_")
-        if b and name not in rows.columns:
-            rows = rows.withColumn(name, F.col(a) * F.col(b))
-    rows = draw_margins(model.predict(rows), sigma, seed, key)
-    return fill_results(rows, week).select(*columns)
+    return fill_results(_with_margin(rows, model, sigma, seed, key), week).select(*games.columns)
+
+
+def predict_week(
+    teams: DataFrame,
+    games: DataFrame,
+    week: int,
+    strengths: DataFrame,
+    model: LinearModel,
+    sigma: float,
+    seed: int,
+    key: str = "game_id",
+) -> tuple[DataFrame, DataFrame]:
+    """One week of a season simulator: (teams, games) of all scenarios in and out.
+
+    Strengths are drawn per row of the (sim, team) table and joined to both sides; the week's
+    open results are filled. Gives the results of ``simulate_results`` for that week.
+    """
+    if strengths is None:
+        raise ValueError("a table of strengths (team, alpha, beta) is needed")
+    require(teams, "sim", "team")
+    require(strengths, "team", "alpha", "beta")
+    params = inner_join_on(teams.select("sim", "team"), strengths.select("team", "alpha", "beta"), ["team"])
+    ratings = draw_strengths(params.withColumn("week", F.lit(week)), seed).select("sim", "team", "pre_game_strength")
+    rows = _with_margin(scenario_inner_join(games, ratings), model, sigma, seed, key)
+    return teams, fill_results(rows, week).select(*games.columns)
 
 
 def scenario_games_wide(games: DataFrame, colors: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import unit_hash
 from .columns import require
+from .relate import exact_quantiles
 
 TRAIN_SHARE = 0.75
 FOLDS = 10
@@ -37,15 +38,10 @@ def kfold(df: DataFrame, key: Sequence[str], seed: int, folds: int = FOLDS) -> D
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int = 4, name: str = "stratum") -> DataFrame:
-    """Bin a numeric column at its exact quantiles, from counts of distinct values.
-
-    Meant for stratifying by a period such as the season: the quantiles are taken over the
-    list of distinct values with their counts, one row per period.
-    """
+    """Bin a numeric column (1 to ``bins``) at its exact quantiles, found from counts of distinct values."""
     require(df, value)
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    cuts = counts.agg(F.percentile(F.col(value).cast("double"), probs, F.col("__c")).alias("c"))
+    probs = {f"q{i}": i / bins for i in range(1, bins)}
+    cuts = exact_quantiles(df.select(value), [], value, probs).select(F.array(*probs).alias("c"))
     above = F.size(F.filter(F.col("__cuts"), lambda c: F.col(value).cast("double") > c))
     return (
         df.withColumn("__cuts", cuts.scalar())
