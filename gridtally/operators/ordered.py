@@ -134,38 +134,38 @@ class Ordered:
     def _blocked_columns(self, specs: dict[str, Running]) -> DataFrame:
         place = F.struct(*self.order)
         block_keys = [*self.keys, _BLOCK]
-        totals = [F.count(F.lit(1)).alias("__n")]
+        totals = [F.count(F.lit(1)).alias("__blk_n")]
         for i, spec in enumerate(specs.values()):
             v = spec.value
             if spec.kind in ("sum", "mean", "total"):
-                totals += [F.sum(v).alias(f"__s{i}"), F.max(v.isNull()).alias(f"__b{i}")]
+                totals += [F.sum(v).alias(f"__blk_s{i}"), F.max(v.isNull()).alias(f"__blk_b{i}")]
             elif spec.kind == "previous":
-                totals.append(F.max_by(F.struct(v.alias("v")), place).alias(f"__l{i}"))
+                totals.append(F.max_by(F.struct(v.alias("v")), place).alias(f"__blk_l{i}"))
             elif spec.kind == "dense":
-                totals.append(F.count_distinct(place).alias(f"__d{i}"))
+                totals.append(F.count_distinct(place).alias(f"__blk_d{i}"))
         blocks = self._frame.groupBy(*block_keys).agg(*totals)
 
         every = Window.partitionBy(*self.keys)
         seq = every.orderBy(_BLOCK)
         before = seq.rowsBetween(Window.unboundedPreceding, -1)
-        starts = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n")]
+        starts = [F.coalesce(F.sum("__blk_n").over(before), F.lit(0)).alias("__blk_n")]
         for i, spec in enumerate(specs.values()):
             if spec.kind in ("sum", "mean"):
                 starts += [
-                    F.sum(f"__s{i}").over(before).alias(f"__s{i}"),
-                    F.coalesce(F.max(f"__b{i}").over(before), F.lit(False)).alias(f"__b{i}"),
+                    F.sum(f"__blk_s{i}").over(before).alias(f"__blk_s{i}"),
+                    F.coalesce(F.max(f"__blk_b{i}").over(before), F.lit(False)).alias(f"__blk_b{i}"),
                 ]
             elif spec.kind == "total":
                 starts += [
-                    F.sum(f"__s{i}").over(every).alias(f"__s{i}"),
-                    F.max(f"__b{i}").over(every).alias(f"__b{i}"),
+                    F.sum(f"__blk_s{i}").over(every).alias(f"__blk_s{i}"),
+                    F.max(f"__blk_b{i}").over(every).alias(f"__blk_b{i}"),
                 ]
             elif spec.kind == "size":
-                starts.append(F.sum("__n").over(every).alias(f"__s{i}"))
+                starts.append(F.sum("__blk_n").over(every).alias(f"__blk_s{i}"))
             elif spec.kind == "previous":
-                starts.append(F.lag(f"__l{i}", 1).over(seq).alias(f"__l{i}"))
+                starts.append(F.lag(f"__blk_l{i}", 1).over(seq).alias(f"__blk_l{i}"))
             elif spec.kind == "dense":
-                starts.append(F.coalesce(F.sum(f"__d{i}").over(before), F.lit(0)).alias(f"__d{i}"))
+                starts.append(F.coalesce(F.sum(f"__blk_d{i}").over(before), F.lit(0)).alias(f"__blk_d{i}"))
         rows = attach(self._frame, blocks.select(*block_keys, *starts), block_keys, "inner")
 
         local = Window.partitionBy(*block_keys).orderBy(*self.order)
@@ -175,21 +175,21 @@ class Ordered:
             v = spec.value
             number = F.row_number().over(local)
             if spec.kind in ("sum", "mean"):
-                ok = ~(F.col(f"__b{i}") | F.max(v.isNull()).over(run))
-                total = F.sum(v).over(run) + F.coalesce(F.col(f"__s{i}"), F.lit(0))
+                ok = ~(F.col(f"__blk_b{i}") | F.max(v.isNull()).over(run))
+                total = F.sum(v).over(run) + F.coalesce(F.col(f"__blk_s{i}"), F.lit(0))
                 if spec.kind == "mean":
-                    total = total.cast("double") / (F.col("__n") + number)
+                    total = total.cast("double") / (F.col("__blk_n") + number)
                 out[name] = F.when(ok, total)
             elif spec.kind == "count":
-                out[name] = (F.col("__n") + number).cast("int")
+                out[name] = (F.col("__blk_n") + number).cast("int")
             elif spec.kind == "dense":
-                out[name] = (F.col(f"__d{i}") + F.dense_rank().over(local)).cast("int")
+                out[name] = (F.col(f"__blk_d{i}") + F.dense_rank().over(local)).cast("int")
             elif spec.kind == "previous":
-                out[name] = F.when(number == 1, F.col(f"__l{i}.v")).otherwise(F.lag(v, 1).over(local))
+                out[name] = F.when(number == 1, F.col(f"__blk_l{i}.v")).otherwise(F.lag(v, 1).over(local))
             elif spec.kind == "total":
-                out[name] = F.when(~F.col(f"__b{i}"), F.col(f"__s{i}"))
+                out[name] = F.when(~F.col(f"__blk_b{i}"), F.col(f"__blk_s{i}"))
             elif spec.kind == "size":
-                out[name] = F.col(f"__s{i}")
+                out[name] = F.col(f"__blk_s{i}")
         helper = [c for c in rows.columns if c not in self._frame.columns]
         return rows.withColumns(out).drop(*helper)
 
