@@ -105,10 +105,9 @@ def strength_table(spark, d):
     """Pre-season model, in-season model, and the table for every season as of week 12."""
     games = fx.games(spark, d)
     preseason = _preseason(spark, d)
-    first = T.binomial_smooth_fit(preseason, "final_wp", T.preseason_basis(preseason), 1.0, select=0.1)
+    first = T.preseason_model(preseason)
     history = H.team_game_history(games, codes={})
-    inputs = T.strength_inputs(history, preseason, first)
-    second = T.quasibinomial_smooth_fit(inputs, "final_wp", T.strength_basis(inputs), 1.0, select=0.1)
+    second = T.strength_model(T.strength_inputs(history, preseason, first))
     table = T.strength_table(preseason, first, T.current_state(games, None, 12), second)
     return rounded(C.derive_cols(table, alpha=F.col("strength_dist.alpha"), beta=F.col("strength_dist.beta")).drop("strength_dist"), 4)
 

@@ -190,7 +190,7 @@ FROM final f JOIN final p ON f.team = p.team AND f.season = p.season + 1
 JOIN rated r ON f.season = r.season AND f.team = r.team
 WHERE r."date" = (SELECT min("date") FROM rated x WHERE x.season = r.season AND x.team = r.team)"""
 
-_LINE = X.Basis("elo", "((`elo` - 1500.0D) / 100.0D)", "s(elo)")
+_LINE = X.Basis("elo", (X.Part("elo", 1500.0, 100.0),), "s(elo)")
 _LAST = f"step{_STEPS}"
 
 
@@ -290,25 +290,24 @@ def _grid_text() -> str:
 
 @query("m14_grid_search_line", _grid_text())
 def grid_search_line(spark, d):
-    inputs = kfold(_preseason(spark, d), ["season", "team"], 11)
-    return rounded(M.grid_search(inputs, "final_wp", [_LINE], grid=_GRID))
+    with M.held(kfold(_preseason(spark, d), ["season", "team"], 11)) as inputs:
+        return rounded(M.grid_search(inputs, "final_wp", [_LINE], grid=_GRID))
 
 
 @query("m10_random_effect")
 def random_effect(spark, d):
     """Shrunken team intercepts and slopes over seasons of the share of wins."""
-    inputs = _preseason(spark, d)
-    season = X.find_smooths(inputs, ["season"])["season"]
-    teams = X.find_levels(inputs, "team")
-    basis = [*X.random_effect("team", teams), *X.random_effect("team", teams, season)]
-    model = M.binomial_smooth_fit(inputs, "final_wp", basis, {"re(team)": 4.0, "re(team,season)": 8.0})
+    with M.held(_preseason(spark, d)) as inputs:
+        season = X.find_smooths(inputs, ["season"])["season"]
+        teams = X.find_levels(inputs, "team")
+        basis = [*X.random_effect("team", teams), *X.random_effect("team", teams, season)]
+        model = M.binomial_smooth_fit(inputs, "final_wp", basis, {"re(team)": 4.0, "re(team,season)": 8.0})
     return model.to_frame(spark).select("term", F.round("estimate", 6).alias("estimate"))
 
 
 @query("m11_binomial_smooth_fit")
 def binomial_smooth_fit(spark, d):
-    inputs = _preseason(spark, d)
-    model = M.binomial_smooth_fit(inputs, "final_wp", T.preseason_basis(inputs), 1.0, select=0.1)
+    model = T.preseason_model(_preseason(spark, d))
     return model.to_frame(spark).select("term", "block", F.round("estimate", 6).alias("estimate"))
 
 
@@ -323,21 +322,20 @@ def _strength_inputs(spark, d):
 
 @query("m12_quasibinomial_smooth_fit")
 def quasibinomial_smooth_fit(spark, d):
-    inputs = _strength_inputs(spark, d)
-    model = M.quasibinomial_smooth_fit(inputs, "final_wp", T.strength_basis(inputs), 1.0, select=0.1)
+    model = T.strength_model(_strength_inputs(spark, d))
     return model.to_frame(spark).select("term", "block", F.round("estimate", 6).alias("estimate"), F.round("dispersion", 6).alias("dispersion"))
 
 
 @query("m13_predict_with_se")
 def predict_with_se(spark, d):
-    inputs = _preseason(spark, d)
-    smooths = X.find_smooths(inputs, ["elo", "prev_season_wp"], 3)
-    basis = [*X.spline_basis(smooths["elo"]), *X.spline_basis(smooths["prev_season_wp"])]
-    model = M.binomial_smooth_fit(inputs, "final_wp", basis, 1.0)
+    with M.held(_preseason(spark, d)) as inputs:
+        smooths = X.find_smooths(inputs, ["elo", "prev_season_wp"], 3)
+        basis = [*X.spline_basis(smooths["elo"]), *X.spline_basis(smooths["prev_season_wp"])]
+        model = M.binomial_smooth_fit(inputs, "final_wp", basis, 1.0)
     return rounded(model.predict_with_se(inputs))
 
 
 @query("m14_grid_search")
 def grid_search(spark, d):
-    inputs = kfold(_preseason(spark, d), ["season", "team"], 11)
-    return rounded(M.grid_search(inputs, "final_wp", T.preseason_basis(inputs), select=0.1))
+    with M.held(kfold(_preseason(spark, d), ["season", "team"], 11)) as inputs:
+        return rounded(M.grid_search(inputs, "final_wp", T.preseason_basis(inputs), select=0.1))

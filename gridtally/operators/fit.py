@@ -8,19 +8,32 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import require
-from .features import Basis, basis_columns
+from .features import Basis, Packing
 
 MAX_COLUMNS = 400
 
 
+@contextmanager
+def held(df: DataFrame):
+    """Keep a table that is read several times for the length of a block. Blocks that are lost
+    with an executor are computed again from the source."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 # ---------------------------------------------------------------- linear model
 
 
@@ -170,10 +183,23 @@ class SmoothModel:
     steps: int
 
     def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
-        """Response-scale prediction as a JVM expression; NULL when a predictor is missing."""
+        """Response-scale prediction as a JVM expression; NULL when a predictor is missing.
+
+        Columns per level of a label become one lookup of the coefficient by the row's level.
+        """
         eta = F.lit(float(self.beta[0]))
+        by_label: dict[tuple[str, str], list[tuple[object, float]]] = {}
         for b, v in zip(self.basis, self.beta[1:]):
-            eta = eta + b.column * F.lit(float(v))
+            label = b.level_part
+            if label is None:
+                eta = eta + b.column * F.lit(float(v))
+            else:
+                rest = " * ".join(p.sql for p in b.parts if p is not label) or "1.0D"
+                by_label.setdefault((label.column, rest), []).append((label.level, float(v)))
+        for (label, rest), pairs in by_label.items():
+            place = F.array_position(F.array(*[F.lit(k) for k, _ in pairs]), F.col(label)).cast("int")
+            value = F.get(F.array(*[F.lit(v) for _, v in pairs]), place - 1)
+            eta = eta + F.coalesce(value, F.lit(0.0)) * F.expr(rest)
         return df.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)))
 
     def predict_with_se(self, df: DataFrame, level: float = 0.95) -> DataFrame:
@@ -184,8 +210,12 @@ class SmoothModel:
         a matrix product per Arrow batch.
         """
         z = {0.95: 1.959963984540054, 0.9: 1.6448536269514722, 0.99: 2.5758293035489004}[level]
-        score = F.pandas_udf(_scorer(self.beta, self.cov, z), "pred double, std_error double, pred_lower double, pred_upper double")
-        packed = F.struct(*[b.column.cast("double").alias(f"b{i}") for i, b in enumerate(self.basis)])
+        packing = Packing.of(self.basis)
+        score = F.pandas_udf(
+            _scorer(packing.design(), self.beta, self.cov, z),
+            "pred double, std_error double, pred_lower double, pred_upper double",
+        )
+        packed = F.struct(*packing.columns())
         out = df.withColumn("__score", score(packed))
         s = F.col("__score")
         return out.withColumns(
@@ -194,13 +224,13 @@ class SmoothModel:
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         names = ["(intercept)", *[b.name for b in self.basis]]
-        sqls = ["1.0D", *[b.sql for b in self.basis]]
+        parts = ["[]", *[b.to_json() for b in self.basis]]
         blocks = [None, *[b.block for b in self.basis]]
         rows = [
-            (i, names[i], sqls[i], blocks[i], float(self.beta[i]), [float(v) for v in self.cov[i]])
+            (i, names[i], parts[i], blocks[i], float(self.beta[i]), [float(v) for v in self.cov[i]])
             for i in range(len(names))
         ]
-        schema = "pos int, term string, sql string, block string, estimate double, covariance array<double>"
+        schema = "pos int, term string, parts string, block string, estimate double, covariance array<double>"
         return spark.createDataFrame(rows, schema).withColumns(
             {
                 "target": F.lit(self.target),
@@ -218,7 +248,7 @@ class SmoothModel:
         head = rows[0]
         return cls(
             head["target"],
-            tuple(Basis(r["term"], r["sql"], r["block"]) for r in rows[1:]),
+            tuple(Basis.from_json(r["term"], r["parts"], r["block"]) for r in rows[1:]),
             np.array([r["estimate"] for r in rows]),
             np.array([r["covariance"] for r in rows]),
             head["dispersion"],
@@ -229,7 +259,7 @@ class SmoothModel:
         )
 
 
-def _scorer(beta: np.ndarray, cov: np.ndarray, z: float):
+def _scorer(design, beta: np.ndarray, cov: np.ndarray, z: float):
     beta, cov = np.array(beta), np.array(cov)
 
     def score(cols: pd.DataFrame) -> pd.DataFrame:
@@ -237,7 +267,7 @@ def _scorer(beta: np.ndarray, cov: np.ndarray, z: float):
         import pandas
 
         m = cols.to_numpy(dtype="float64", na_value=numpy.nan)
-        x = numpy.column_stack([numpy.ones(len(m)), m])
+        x = design(m)
         eta = x @ beta
         se = numpy.sqrt(numpy.maximum(((x @ cov) * x).sum(axis=1), 0.0))
         inv = lambda v: 1.0 / (1.0 + numpy.exp(-v))
@@ -280,15 +310,16 @@ def _solve(gram: np.ndarray, right: np.ndarray, penalty: np.ndarray) -> tuple[np
     return inverse @ right, inverse
 
 
-def _working(beta: np.ndarray | None, p: int):
-    """Sums for one reweighted least-squares step at ``beta`` (None: the usual start)."""
+def _working(design, beta: np.ndarray | None):
+    """Sums for one reweighted least-squares step at ``beta`` (None: the usual start), from rows
+    of the target and the packed columns."""
     beta = None if beta is None else np.array(beta)
 
     def step(m):
         import numpy
 
         y = m[:, 0]
-        x = numpy.column_stack([numpy.ones(len(m)), m[:, 1:]])
+        x = design(m[:, 1:])
         if beta is None:
             mu = (y + 0.5) / 2.0
             eta = numpy.log(mu / (1.0 - mu))
@@ -327,12 +358,14 @@ def smooth_fit(
     p = len(basis) + 1
     if p > MAX_COLUMNS:
         raise ValueError(f"{p} columns; the solve on the driver is meant for at most {MAX_COLUMNS}")
-    rows = basis_columns(df, basis, [F.col(target).cast("double").alias("y")]).na.drop("any").persist()
+    packing = Packing.of(basis)
+    design = packing.design()
+    columns = df.select(F.col(target).cast("double").alias("y"), *packing.columns()).na.drop("any")
     penalty = penalty_diagonal(basis, smoothing, select)
-    try:
-        beta, before, steps = None, math.inf, 0
+    beta, before, steps = None, math.inf, 0
+    with held(columns) as rows:
         while True:
-            total = sum_vectors(rows, _working(beta, p), p * p + p + 3)
+            total = sum_vectors(rows, _working(design, beta), p * p + p + 3)
             gram, right = total[: p * p].reshape(p, p), total[p * p : p * p + p]
             deviance, pearson, n = total[p * p + p :]
             if n == 0:
@@ -343,8 +376,6 @@ def smooth_fit(
             if done or steps >= max_steps:
                 break
             before, beta, steps = (objective if beta is not None else math.inf), new, steps + 1
-    finally:
-        rows.unpersist()
     edf = float(np.trace(inverse @ gram))
     dispersion = float(pearson / max(n - edf, 1.0)) if quasi else 1.0
     return SmoothModel(
@@ -386,11 +417,12 @@ def grid_search(
     grid = list(grid) if grid is not None else default_grid()
     p, c = len(basis) + 1, len(grid)
     base = smooth_fit(df, target, basis, 1.0, select)
+    packing = Packing.of(basis)
+    design = packing.design()
     keep = [F.col(fold).cast("double").alias("f"), F.col(target).cast("double").alias("y")]
-    rows = basis_columns(df, basis, keep).na.drop("any").persist()
     one = p * p + p + 3
-    try:
-        step = _working(base.beta, p)()
+    with held(df.select(*keep, *packing.columns()).na.drop("any")) as rows:
+        step = _working(design, base.beta)()
 
         def by_fold():
             def fn(m):
@@ -422,7 +454,7 @@ def grid_search(
                 for f in range(1, folds + 1):
                     mine = m[m[:, 0] == f]
                     if len(mine):
-                        x = numpy.column_stack([numpy.ones(len(mine)), mine[:, 2:]])
+                        x = design(mine[:, 2:])
                         mu = 1.0 / (1.0 + numpy.exp(-numpy.clip(x @ betas[f - 1], -30.0, 30.0)))
                         out[f - 1, :c] = ((mine[:, 1:2] - mu) ** 2).sum(axis=0)
                         out[f - 1, c] = len(mine)
@@ -431,8 +463,6 @@ def grid_search(
             return fn
 
         errors = sum_vectors(rows, score, folds * (c + 1)).reshape(folds, c + 1)
-    finally:
-        rows.unpersist()
     used = errors[errors[:, c] > 0]
     rmse = np.sqrt(used[:, :c] / used[:, c:])
     err = rmse.std(axis=0, ddof=1) / math.sqrt(len(used)) if len(used) > 1 else np.full(c, np.nan)

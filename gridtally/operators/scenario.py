@@ -161,9 +161,18 @@ def simulate_results(
     """Scenario games with open results filled: draw strengths, predict, draw margins, fill.
 
     Everything happens on the game row, so nothing but a small table of strengths is joined.
+    Games that stay as they are skip the draws; the split reaches the schedule itself, so
+    nothing is read or spread twice.
     """
-    rows = draw_game_strengths(attach_strengths(games, strengths), seed)
-    return fill_results(_with_margin(rows, model, sigma, seed, key), week).select(*games.columns)
+    require(games, "result", "week")
+    open_game = F.col("result").isNull()
+    if week is not None:
+        open_game = open_game & F.coalesce(F.col("week") == week, F.lit(False))
+    settled = attach_strengths(games.where(~open_game), strengths).select(*games.columns)
+    settled = settled.withColumn("result", F.col("result").cast("int"))
+    drawn = draw_game_strengths(attach_strengths(games.where(open_game), strengths), seed)
+    filled = fill_results(_with_margin(drawn, model, sigma, seed, key), week)
+    return settled.unionByName(filled.select(*games.columns))
 
 
 def predict_week(

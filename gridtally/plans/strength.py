@@ -24,7 +24,13 @@ from ..operators.features import (
     spline_basis,
     tensor_interaction,
 )
-from ..operators.fit import SmoothModel, binomial_smooth_fit, grid_search, quasibinomial_smooth_fit
+from ..operators.fit import (
+    SmoothModel,
+    binomial_smooth_fit,
+    grid_search,
+    held,
+    quasibinomial_smooth_fit,
+)
 from ..operators.ordered import HOT_ROWS, attach, ordered, previous
 from ..operators.relate import best_candidate, sort_multi
 from ..operators.splits import group_split, kfold, stratified_split
@@ -73,11 +79,17 @@ def fit_preseason_model(
     Returns the model, the search table, and the input with ``split`` and ``fold``.
     """
     rows = kfold(stratified_split(inputs, ["season", "team"], "season", seed), ["season", "team"], seed, folds)
-    train = rows.where(F.col("split") == "train")
-    basis = preseason_basis(train, n_knots)
-    search = grid_search(train, "final_wp", basis, "fold", folds, grid, select=0.1)
-    best = best_candidate(search, "rmse", "candidate").first()["smoothing"]
-    return binomial_smooth_fit(train, "final_wp", basis, best, select=0.1), search, rows
+    with held(rows.where(F.col("split") == "train")) as train:
+        basis = preseason_basis(train, n_knots)
+        search = grid_search(train, "final_wp", basis, "fold", folds, grid, select=0.1)
+        best = best_candidate(search, "rmse", "candidate").first()["smoothing"]
+        return binomial_smooth_fit(train, "final_wp", basis, best, select=0.1), search, rows
+
+
+def preseason_model(inputs: DataFrame, smoothing: float = 1.0, n_knots: int = 5) -> SmoothModel:
+    """The pre-season model on all given rows with a known smoothing multiplier."""
+    with held(inputs) as rows:
+        return binomial_smooth_fit(rows, "final_wp", preseason_basis(rows, n_knots), smoothing, select=0.1)
 
 
 def strength_inputs(history: DataFrame, preseason: DataFrame, model: SmoothModel) -> DataFrame:
@@ -126,15 +138,21 @@ def strength_basis(
     return out
 
 
+def strength_model(inputs: DataFrame, smoothing: float = 1.0, n_knots: int = 4) -> SmoothModel:
+    """The in-season model on all given rows. Only the columns of the model are kept while it is fitted."""
+    used = dict.fromkeys(["final_wp", *STRENGTH_SMOOTHS, *STRENGTH_FACTORS])
+    require(inputs, *used)
+    with held(inputs.select(*used)) as rows:
+        return quasibinomial_smooth_fit(rows, "final_wp", strength_basis(rows, n_knots), smoothing, select=0.1)
+
+
 def fit_strength_model(
     inputs: DataFrame, seed: int = 12, n_knots: int = 4, smoothing: float = 1.0, **rows_kept
 ) -> tuple[SmoothModel, DataFrame]:
     """Group split on the team-season id, then one quasi-binomial fit on the training side."""
-    require(inputs, "id", "final_wp", *STRENGTH_SMOOTHS)
+    require(inputs, "id")
     rows = group_split(strength_training_rows(inputs, **rows_kept), "id", seed)
-    train = rows.where(F.col("split") == "train")
-    basis = strength_basis(train, n_knots)
-    return quasibinomial_smooth_fit(train, "final_wp", basis, smoothing, select=0.1), rows
+    return strength_model(rows.where(F.col("split") == "train"), smoothing, n_knots), rows
 
 
 def beta_columns(scored: DataFrame) -> DataFrame:

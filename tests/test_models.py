@@ -158,7 +158,7 @@ def test_models_survive_storage(spark, rows, tmp_path):
 
 def test_too_wide_a_model_is_refused(rows):
     with pytest.raises(ValueError, match="at most"):
-        M.smooth_fit(rows, "share", [X.Basis(f"c{i}", "a", None) for i in range(M.MAX_COLUMNS)])
+        M.smooth_fit(rows, "share", [X.Basis(f"c{i}", (X.Part("a"),)) for i in range(M.MAX_COLUMNS)])
 
 
 def test_whole_training_and_scoring_path(spark, data):
