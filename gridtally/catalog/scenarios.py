@@ -204,14 +204,15 @@ def histogram_unit(spark, d):
     "g7_scenario_cdf",
     sql(
         f"""SELECT g.team, CAST(g.place * 0.5 AS DOUBLE) AS wins, {rd('count(t.wins) FILTER (t.wins < g.place * 0.5) / 20.0::DOUBLE AS under_prob', 'count(t.wins) FILTER (t.wins > g.place * 0.5) / 20.0::DOUBLE AS over_prob')}
-            FROM (SELECT team, place FROM strengths CROSS JOIN range(0, (SELECT CAST(max(wins) * 2 AS BIGINT) + 1 FROM totals)) r(place)) g
+            FROM (SELECT team, place FROM strengths CROSS JOIN range(0, (SELECT 2 * max(n) + 1 FROM (SELECT count(*) AS n FROM long GROUP BY team))) r(place)) g
             JOIN totals t ON g.team = t.team GROUP BY g.team, g.place""",
         "totals",
         "strengths",
+        "long",
     ),
 )
 def scenario_cdf(spark, d):
-    return rounded(A.scenario_cdf(totals(spark, d)))
+    return rounded(A.scenario_cdf(totals(spark, d), A.most_games(fx.games(spark, d))))
 
 
 @query("g8_scenario_overall", sql(f"SELECT conf, division, team, {rd('wins', *FLAGS)} FROM overall", "overall"))

@@ -90,7 +90,13 @@ def scenario_team_totals(long_games: DataFrame) -> DataFrame:
     )
 
 
-def scenario_cdf(totals: DataFrame, max_wins: int | None = None, step: float = 0.5) -> DataFrame:
+def most_games(games: DataFrame) -> Column:
+    """Games of the busiest team of a schedule, as a scalar: the top of the grid of win totals."""
+    teams = games.select(F.explode(F.array("home_team", "away_team")).alias("team"))
+    return teams.groupBy("team").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+
+
+def scenario_cdf(totals: DataFrame, max_wins: int | Column, step: float = 0.5) -> DataFrame:
     """Probability that a team wins fewer (or more) than n games, n on a grid of half wins.
 
     Works on the (team, wins) histogram: one row per team and distinct total, bounded by the
@@ -99,13 +105,10 @@ def scenario_cdf(totals: DataFrame, max_wins: int | None = None, step: float = 0
     require(totals, "team", "wins")
     place = F.round(F.col("wins") / step).cast("int")
     hist = totals.groupBy("team", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    per_team = hist.groupBy("team").agg(F.sum("n").alias("n_sims"), F.max("place").alias("most"))
-    if max_wins is None:
-        top = F.col("top")
-        per_team = per_team.withColumn("top", per_team.agg(F.max("most")).scalar())
-    else:
-        top = F.lit(int(round(max_wins / step)))
-    grid = per_team.select("team", "n_sims", F.explode(F.sequence(F.lit(0), top)).alias("place"))
+    per_team = hist.groupBy("team").agg(F.sum("n").alias("n_sims"))
+    top = F.round((max_wins if isinstance(max_wins, Column) else F.lit(max_wins)) / step).cast("int")
+    places = F.explode(F.sequence(F.lit(0), top)).alias("place")
+    grid = per_team.select("team", "n_sims", places)
     below = Window.partitionBy("team").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("team").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     n = F.coalesce(F.col("n"), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col
+from ..sources.shared import settle
 from .columns import require
 from .ordered import HOT_ROWS, attach, dense_position, group_sum, ordered, running_count, running_sum
 
@@ -170,7 +171,7 @@ def exact_quantiles(
     running count over the distinct values of a group is cut into blocks when there are too
     many of them, so no task has to hold the values of a group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    counts = settle(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
     placed = ordered(counts, keys, [value], hot_rows).running(__to=running_sum("__c"), __n=group_sum("__c")).frame
     after, upto, v = F.col("__to") - F.col("__c"), F.col("__to"), F.col(value).cast("double")
 
@@ -208,7 +209,7 @@ def level_reorder(
     else:
         agg = {"mean": F.avg, "min": F.min}[by]
         stat = df.groupBy(label).agg(agg(value).alias("stat"))
-    return ordered(stat, [], ["stat"], hot_rows).running(**{name: dense_position()}).frame
+    return ordered(settle(stat), [], ["stat"], hot_rows).running(**{name: dense_position()}).frame
 
 
 def level_table(
@@ -220,7 +221,7 @@ def level_table(
     over distinct values, and is cut into blocks beyond ``hot_rows`` of them.
     """
     require(df, value, *order)
-    first = (
+    first = settle(
         df.where(F.col(value).isNotNull())
         .groupBy(value)
         .agg(F.min(F.struct(*order)).alias("__at"))

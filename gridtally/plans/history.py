@@ -27,6 +27,7 @@ from ..operators.ordered import (
 )
 from ..operators.relate import known_levels, left_join_common, level_table, small
 from ..operators.reshape import sides_to_long
+from ..sources.shared import settle
 
 # Fixed value: games of a regular season by which ``reg_wp`` is divided in every season.
 REGULAR_GAMES = 16
@@ -90,7 +91,7 @@ def running_team_stats(long: DataFrame, unplayed_win: float = 0.5, hot_rows: int
 
 def with_league_stats(teams: DataFrame, long: DataFrame, across_seasons: bool = True) -> DataFrame:
     """Join the season-week league statistics (one row per calendar week) and the team-season id."""
-    weeks = league_running(week_mean_sd(long), across_seasons)
+    weeks = settle(league_running(week_mean_sd(long), across_seasons))
     joined = left_join_common(teams, small(weeks))
     return relocate_cols(joined.withColumn("id", compose_key("season", F.lit("_"), "team")), "id")
 

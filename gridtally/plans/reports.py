@@ -14,6 +14,7 @@ from ..operators.columns import require
 from ..operators.evaluate import grouped_metrics
 from ..operators.ordered import HOT_ROWS, dense_position, ordered
 from ..operators.relate import bind_rows, sort_multi
+from ..sources.shared import settle
 
 
 def _game_keys(games: DataFrame) -> list[str]:
@@ -23,13 +24,14 @@ def _game_keys(games: DataFrame) -> list[str]:
 def _game_summary(games: DataFrame) -> DataFrame:
     """One row per matchup: home win share and absolute mean margin over all scenarios.
 
-    The only pass over scenario rows; it combines map-side, and everything after it works on
-    matchups.
+    The only pass over scenario rows; it combines map-side and is stored, and everything after
+    it works on matchups.
     """
     require(games, "away_team", "home_team", "week", "result")
-    return games.groupBy(*_game_keys(games)).agg(
+    summary = games.groupBy(*_game_keys(games)).agg(
         F.abs(strict_mean("result")).alias("margin"), strict_share(F.col("result") > 0, "result").alias("home_share")
     )
+    return settle(summary)
 
 
 def _favourite(summary: DataFrame) -> DataFrame:

@@ -6,27 +6,24 @@ session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fit import LinearModel, SmoothModel
+from .shared import settle, shared_folder
 
 GAMES_SCHEMA = (
     "game_id string, season int, game_type string, week int, away_team string, away_score int, "
     "home_team string, home_score int, result int, div_game int"
 )
-RATINGS_SCHEMA = "date date, season int, team1 string, team2 string, elo1_pre double, elo2_pre double"
-
+__all__ = [
+    "games_source", "ratings_csv_source", "ratings_csv_write", "table_read", "table_write", "snapshot_write",
+    "snapshot_read", "model_write", "model_read", "settle", "shared_folder",
+]
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return f"{root.rstrip('/')}/gridtally-{uuid.uuid4().hex}"
+RATINGS_SCHEMA = "date date, season int, team1 string, team2 string, elo1_pre double, elo2_pre double"
 
 
 def games_source(spark: SparkSession, path: str, schema: str = GAMES_SCHEMA) -> DataFrame:
