@@ -16,7 +16,7 @@ from ..plans import strength as T
 from ..sources import fixtures as fx
 from . import query, scenarios
 from .models import _preseason
-from .views import rd, rounded, sql
+from .views import least_squares, rd, rounded, sql
 
 _TEAM = "id, game_id, season, game_type, week, div_game, \"set\", team, score, result, win, wins, game_num, reg_wins, tot_wins, tot_games"
 _STATS = (
@@ -173,18 +173,47 @@ def game_comparison(spark, d):
     return rounded(G.game_comparison(_pregame(spark, d)))
 
 
-@query("o8_margin_model")
+_TERMS = ["pre_game_strength_home", "strength_diff", "is_after_week_1", "pre_game_strength_home * strength_diff"]
+_PREDICTED = f"""
+SELECT *, b0 + b1 * {_TERMS[0]} + b2 * {_TERMS[1]} + b3 * {_TERMS[2]} + b4 * {_TERMS[3]} AS pred
+FROM parted CROSS JOIN ols WHERE result IS NOT NULL"""
+_PARTED = """
+SELECT *, CASE WHEN CAST('0x' || substr(md5('13|' || game_id), 1, 8) AS BIGINT) % 100 < 75 THEN 'train' ELSE 'test' END AS part
+FROM compared"""
+_PART_METRICS = """
+SELECT part, unnest(['rmse', 'rsq', 'mae']) AS metric,
+       unnest([sqrt(avg(pow(result - pred, 2))), pow(corr(result, pred), 2), avg(abs(result - pred))]) AS estimate
+FROM predicted GROUP BY part"""
+
+
+@query(
+    "o8_margin_model",
+    sql(
+        f"SELECT part, metric, {rd('estimate')} FROM part_metrics",
+        "running",
+        "final",
+        rated_history=_RATED_HISTORY,
+        pregame=_PREGAME,
+        compared=_COMPARED,
+        parted=_PARTED,
+        **least_squares("parted WHERE part = 'train' AND result IS NOT NULL", "result", _TERMS),
+        predicted=_PREDICTED,
+        part_metrics=_PART_METRICS,
+    ),
+)
 def margin_model(spark, d):
-    """Margin model fitted on the training games, with metrics on both sides and over folds."""
-    fit = G.fit_margin_model(G.game_comparison(_pregame(spark, d)), folds=3)
-    parts = [
-        fit.train_metrics.withColumn("part", F.lit("train")),
-        fit.test_metrics.withColumn("part", F.lit("test")),
-        fit.resamples.select("metric", F.col("mean").alias("estimate"), F.lit("folds").alias("part")),
-    ]
+    """Margin model fitted on the training games, with metrics on both sides."""
+    fit = G.fit_margin_model(G.game_comparison(_pregame(spark, d)))
+    parts = [fit.train_metrics.withColumn("part", F.lit("train")), fit.test_metrics.withColumn("part", F.lit("test"))]
     return rounded(R.bind_rows(*parts))
 
 
+@query("o8_margin_resamples")
+def margin_resamples(spark, d):
+    """Metrics of the margin model over held-out folds of the training games."""
+    return rounded(G.fit_margin_model(G.game_comparison(_pregame(spark, d))).resamples)
+
+
 _LABEL = "winner || ' wins ' || win_prob || chr(10) || 'with an expected MOV of ' || exp_result || ' points'"
 
 

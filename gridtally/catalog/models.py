@@ -14,7 +14,7 @@ from ..operators.splits import kfold
 from ..sources import fixtures as fx
 from ..sources import tables as src
 from . import query
-from .views import rd, rounded, sql
+from .views import least_squares, rd, rounded, sql
 
 
 def _games(spark, d):
@@ -49,25 +49,15 @@ def standardize(spark, d):
     return rounded(X.standardize(rows.select("game_id", "week", "estimate"), stats, ["week", "estimate"]))
 
 
-# Least squares with three predictors by successive simple regressions: each predictor is
-# cleared of those before it, and the slopes are substituted back.
-_OLS = {
-    "base": "SELECT g.result AS y, g.week AS x1, g.div_game AS x2, p.estimate AS x3 FROM games g JOIN predictions p USING (game_id) WHERE g.result IS NOT NULL",
-    "s1": "SELECT *, x1 - avg(x1) OVER () AS q1 FROM base",
-    "t2": "SELECT regr_slope(x2, q1) AS r12, regr_slope(x3, q1) AS r13, avg(x2) AS m2, avg(x3) AS m3 FROM s1",
-    "s2": "SELECT s1.*, x2 - m2 - r12 * q1 AS q2, x3 - m3 - r13 * q1 AS x3a FROM s1 CROSS JOIN t2",
-    "t3": "SELECT regr_slope(x3a, q2) AS r23 FROM s2",
-    "s3": "SELECT s2.*, x3a - r23 * q2 AS q3 FROM s2 CROSS JOIN t3",
-    "c": "SELECT regr_slope(y, q1) AS c1, regr_slope(y, q2) AS c2, regr_slope(y, q3) AS b3, avg(y) AS my, avg(x1) AS m1 FROM s3",
-    "b": "SELECT b3, c2 - r23 * b3 AS b2, c1 - r12 * (c2 - r23 * b3) - r13 * b3 AS b1, my, m1, m2, m3 FROM c CROSS JOIN t2 CROSS JOIN t3",
-}
-
-
 _COEFFICIENTS = sql(
-    f"SELECT unnest(['(intercept)', 'week', 'div_game', 'estimate']) AS term, {rd('unnest([my - b1 * m1 - b2 * m2 - b3 * m3, b1, b2, b3]) AS estimate')} FROM b",
+    f"SELECT unnest(['(intercept)', 'week', 'div_game', 'estimate']) AS term, {rd('unnest([b0, b1, b2, b3]) AS estimate')} FROM ols",
     "games",
     "predictions",
-    **_OLS,
+    **least_squares(
+        "games JOIN predictions USING (game_id) WHERE result IS NOT NULL",
+        "result",
+        ["games.week", "div_game", "predictions.estimate"],
+    ),
 )
 
 

@@ -245,6 +245,31 @@ def rd(*columns: str, digits: int = 6) -> str:
     return ", ".join(out)
 
 
+def least_squares(source: str, y: str, xs: list[str]) -> dict[str, str]:
+    """Views ending in ``ols`` (columns b0, b1, ...): least squares by successive simple
+    regressions. Each predictor is cleared of those before it, then slopes are put back."""
+    k = len(xs)
+    names = range(1, k + 1)
+    out = {
+        "ls_base": f"SELECT {y} AS y, {', '.join(f'CAST({x} AS DOUBLE) AS x{i}' for i, x in zip(names, xs))} FROM {source}",
+        "ls_mean": f"SELECT avg(y) AS my, {', '.join(f'avg(x{i}) AS m{i}' for i in names)} FROM ls_base",
+        "ls_0": f"SELECT y, {', '.join(f'x{i} - m{i} AS x{i}' for i in names)} FROM ls_base CROSS JOIN ls_mean",
+    }
+    for i in names:
+        later = range(i + 1, k + 1)
+        slopes = [f"regr_slope(y, x{i}) AS c{i}", *[f"regr_slope(x{j}, x{i}) AS r{i}_{j}" for j in later]]
+        out[f"ls_t{i}"] = f"SELECT {', '.join(slopes)} FROM ls_{i - 1}"
+        cleared = [f"x{j} - r{i}_{j} * x{i} AS x{j}" for j in later]
+        out[f"ls_{i}"] = f"SELECT {', '.join(['y', *[f'x{j}' for j in range(1, i + 1)], *cleared])} FROM ls_{i - 1} CROSS JOIN ls_t{i}"
+    tables = " CROSS JOIN ".join(f"ls_t{i}" for i in names)
+    inner = f"SELECT * FROM {tables} CROSS JOIN ls_mean"
+    for i in reversed(names):
+        back = "".join(f" - r{i}_{j} * b{j}" for j in range(i + 1, k + 1))
+        inner = f"SELECT *, c{i}{back} AS b{i} FROM ({inner})"
+    out["ols"] = f"SELECT my{''.join(f' - b{i} * m{i}' for i in names)} AS b0, {', '.join(f'b{i}' for i in names)} FROM ({inner})"
+    return out
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, so that the order in which doubles were added does not show."""
     return df.select(

@@ -21,6 +21,7 @@ from .columns import require
 from .features import Basis, Packing
 
 MAX_COLUMNS = 400
+MAX_FOLDS = 100
 
 
 @contextmanager
@@ -78,40 +79,92 @@ class LinearModel:
         )
 
 
+@dataclass
+class _Sums:
+    """Count, sums and sums of products of shifted columns; they add and subtract."""
+
+    n: int
+    first: np.ndarray
+    second: np.ndarray
+
+    def __add__(self, other: _Sums) -> _Sums:
+        return _Sums(self.n + other.n, self.first + other.first, self.second + other.second)
+
+    def __sub__(self, other: _Sums) -> _Sums:
+        return _Sums(self.n - other.n, self.first - other.first, self.second - other.second)
+
+    def solve(self, target: str, features: Sequence[str], shift: Sequence[float]) -> LinearModel:
+        n, p = self.n, len(features)
+        if n <= p + 1:
+            raise ValueError(f"{n} complete rows cannot carry {p} features")
+        mean = self.first / n
+        gram = self.second - n * np.outer(mean, mean)
+        xx, xy, yy = gram[:p, :p], gram[:p, p], gram[p, p]
+        scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
+        beta = np.linalg.lstsq(xx / np.outer(scale, scale), xy / scale, rcond=1e-12)[0] / scale
+        center = mean + np.array(shift)
+        rss = max(float(yy - beta @ xy), 0.0)
+        return LinearModel(
+            target,
+            tuple(features),
+            float(center[p] - beta @ center[:p]),
+            tuple(float(b) for b in beta),
+            math.sqrt(rss / (n - p - 1)),
+            int(n),
+        )
+
+
+def _linear_sums(df: DataFrame, names: Sequence[str], by: str | None) -> tuple[list[float], dict[object, _Sums]]:
+    """Sums per value of ``by`` around the overall means: two aggregates, so that large means do
+    not cost digits."""
+    k = len(names)
+    keep = [F.col(by)] if by else []
+    rows = df.select(*keep, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    rows = rows.na.drop("any", subset=[f"v{i}" for i in range(k)])
+    head = rows.agg(*[F.avg(f"v{i}").alias(f"m{i}") for i in range(k)]).first()
+    shift = [head[f"m{i}"] or 0.0 for i in range(k)]
+    dev = [F.col(f"v{i}") - F.lit(m) for i, m in enumerate(shift)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    table = rows.groupBy(*keep).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.coalesce(F.sum(dev[i]), F.lit(0.0)).alias(f"s{i}") for i in range(k)],
+        *[F.coalesce(F.sum(dev[i] * dev[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in pairs],
+    )
+    out = {}
+    for r in table.limit(MAX_FOLDS + 1).collect():
+        second = np.zeros((k, k))
+        for i, j in pairs:
+            second[i, j] = second[j, i] = r[f"g{i}_{j}"]
+        out[r[by] if by else None] = _Sums(r["n"], np.array([r[f"s{i}"] for i in range(k)]), second)
+    if len(out) > MAX_FOLDS:
+        raise ValueError(f"{by} has more than {MAX_FOLDS} values")
+    return shift, out
+
+
 def linear_fit(df: DataFrame, target: str, features: Sequence[str]) -> LinearModel:
     """Least squares with an intercept; rows with a missing value are left out.
 
-    Two aggregates - the means, then the centred sums of products - so that large means do not
-    cost digits. Features that are constant or repeat others get 0 (least-norm solution).
+    Features that are constant or repeat others get the least-norm solution.
     """
     require(df, target, *features)
-    names = [*features, target]
-    rows = df.select(*[F.col(n).cast("double").alias(n) for n in names]).na.drop("any")
-    head = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)]).first()
-    n, p = head["n"], len(features)
-    if n <= p + 1:
-        raise ValueError(f"{n} complete rows cannot carry {p} features")
-    means = [head[f"m{i}"] for i in range(p + 1)]
-    dev = [F.col(c) - F.lit(m) for c, m in zip(names, means)]
-    sums = rows.agg(
-        *[F.sum(dev[i] * dev[j]).alias(f"g{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
-    ).first()
-    gram = np.zeros((p + 1, p + 1))
-    for i in range(p + 1):
-        for j in range(i, p + 1):
-            gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"]
-    xx, xy, yy = gram[:p, :p], gram[:p, p], gram[p, p]
-    scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
-    beta = np.linalg.lstsq(xx / np.outer(scale, scale), xy / scale, rcond=1e-12)[0] / scale
-    rss = max(float(yy - beta @ xy), 0.0)
-    return LinearModel(
-        target,
-        tuple(features),
-        float(means[p] - beta @ np.array(means[:p])),
-        tuple(float(b) for b in beta),
-        math.sqrt(rss / (n - p - 1)),
-        int(n),
-    )
+    shift, sums = _linear_sums(df, [*features, target], None)
+    return sums[None].solve(target, features, shift)
+
+
+def linear_fit_without_folds(df: DataFrame, target: str, features: Sequence[str], fold: str = "fold") -> dict[object, LinearModel]:
+    """For every fold the model fitted on the other folds, from one set of sums per fold."""
+    require(df, target, fold, *features)
+    shift, sums = _linear_sums(df, [*features, target], fold)
+    whole = sum(list(sums.values())[1:], start=next(iter(sums.values())))
+    return {f: (whole - s).solve(target, features, shift) for f, s in sorted(sums.items())}
+
+
+def predict_held_out(df: DataFrame, models: dict[object, LinearModel], fold: str = "fold", name: str = "pred") -> DataFrame:
+    """Every row scored by the model fitted without its fold."""
+    out = F.lit(None).cast("double")
+    for f, m in models.items():
+        out = F.when(F.col(fold) == F.lit(f), m.column()).otherwise(out)
+    return df.withColumn(name, out)
 
 
 def residual_sigma(df: DataFrame, truth: str, estimate: str, n_features: int, name: str = "sigma") -> DataFrame:

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluate import regression_metrics, resample_metrics
 from ..operators.features import interaction_feature, zero_variance
-from ..operators.fit import LinearModel, linear_fit
+from ..operators.fit import (
+    LinearModel,
+    held,
+    linear_fit,
+    linear_fit_without_folds,
+    predict_held_out,
+)
 from ..operators.reshape import long_to_sides
 from ..operators.scenario import matchup_features
 from ..operators.splits import kfold, random_split
@@ -44,30 +50,27 @@ def margin_features(games: DataFrame) -> DataFrame:
     return interaction_feature(games, "pre_game_strength_home", "strength_diff")
 
 
-def fit_margin_model(games: DataFrame, seed: int = 13, folds: int = 10, resample: bool = True) -> MarginFit:
+def fit_margin_model(games: DataFrame, seed: int = 13, folds: int = 10) -> MarginFit:
     """Split 3:1, drop constant predictors, fit on the training games, evaluate on both sides.
 
     Scaling the predictors does not change a least-squares prediction, so the model is kept on
-    the original scale and can be applied as it is. ``resample`` adds the fit without each fold.
+    the original scale and can be applied as it is. The fits without each fold come from sums
+    per fold, not from more passes over the games.
     """
     rows = kfold(random_split(margin_features(games), ["game_id"], seed), ["game_id"], seed, folds)
-    train = rows.where(F.col("split") == "train")
     names = [*MARGIN_FEATURES, "pre_game_strength_home_x_strength_diff"]
-    constant = zero_variance(train, names)
-    names = [n for n in names if n not in constant]
-    model = linear_fit(train, "result", names)
+    with held(rows.where(F.col("split") == "train").select("fold", "result", *names)) as train:
+        constant = zero_variance(train, names)
+        names = [n for n in names if n not in constant]
+        model = linear_fit(train, "result", names)
+        without = linear_fit_without_folds(train, "result", names)
     scored = model.predict(rows)
-    held_out = None
-    for f in range(1, folds + 1 if resample else 1):
-        part = linear_fit(train.where(F.col("fold") != f), "result", names).predict(
-            train.where(F.col("fold") == f)
-        )
-        held_out = part if held_out is None else held_out.unionByName(part)
-    resamples = resample_metrics(held_out if held_out is not None else scored.limit(0), "fold", "result", "pred")
+    train_rows = F.col("split") == "train"
+    held_out = predict_held_out(rows.where(train_rows), without)
     return MarginFit(
         model,
         scored,
-        regression_metrics(scored.where(F.col("split") == "train"), "result", "pred"),
-        regression_metrics(scored.where(F.col("split") == "test"), "result", "pred"),
-        resamples,
+        regression_metrics(scored.where(train_rows), "result", "pred"),
+        regression_metrics(scored.where(~train_rows), "result", "pred"),
+        resample_metrics(held_out, "fold", "result", "pred"),
     )

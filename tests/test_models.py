@@ -58,6 +58,14 @@ def test_linear_fit_with_repeated_and_constant_features(rows):
     assert gap < 1e-8
 
 
+def test_fits_without_folds_equal_separate_fits(rows):
+    df = kfold(rows, ["id"], 5, 4)
+    for f, model in M.linear_fit_without_folds(df, "margin", ["a", "b"]).items():
+        alone = M.linear_fit(df.where(F.col("fold") != f), "margin", ["a", "b"])
+        assert model.coef == pytest.approx(alone.coef, rel=1e-9) and model.n == alone.n
+        assert model.sigma == pytest.approx(alone.sigma, rel=1e-9)
+
+
 def _basis(rows, knots=3):
     s = X.find_smooths(rows, ["a", "b"], knots)
     return [*X.spline_basis(s["a"]), *X.spline_basis(s["b"])]
