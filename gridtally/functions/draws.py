@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,9 +30,9 @@ def draw_normal(mean: Column | str, sd: Column | str | float, *keys: Column | st
 
 def _beta_sampler():
     # Built here so that it travels by value: workers need numpy only.
-    def sample(key: pd.Series, alpha: pd.Series, beta: pd.Series) -> pd.Series:
+    def sample(key: pa.Array, alpha: pa.Array, beta: pa.Array) -> pa.Array:
         import numpy as np
-        import pandas
+        import pyarrow
 
         mask = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -68,17 +68,19 @@ def _beta_sampler():
             power = np.where(boost, uniform(keys, lane + 3) ** (1.0 / np.where(boost, shape, 1.0)), 1.0)
             return out * power
 
-        a = alpha.to_numpy(dtype="float64", na_value=np.nan)
-        b = beta.to_numpy(dtype="float64", na_value=np.nan)
+        a = alpha.to_numpy(zero_copy_only=False)
+        b = beta.to_numpy(zero_copy_only=False)
+        if len(a) == alpha.null_count:
+            return pyarrow.nulls(len(a), pyarrow.float64())
         good = (a > 0.0) & (b > 0.0) & np.isfinite(a) & np.isfinite(b)
-        result = np.full(a.shape, np.nan)
+        result = np.zeros(a.shape)
         if good.any():
             with np.errstate(over="ignore"):
-                k = key.to_numpy(dtype="int64")[good].astype(np.uint64)
+                k = key.to_numpy(zero_copy_only=False)[good].astype(np.uint64)
                 x = gamma(k, a[good], 0)
                 y = gamma(k, b[good], 4)
             result[good] = x / (x + y)
-        return pandas.Series(result).astype("Float64").where(pandas.Series(good))
+        return pyarrow.array(result, mask=~good)
 
     return sample
 
@@ -89,6 +91,6 @@ def draw_beta(alpha: Column | str, beta: Column | str, *keys: Column | str, seed
     The key is hashed in the JVM; the rejection step has no closed form, so it runs on
     Arrow batches with a counter-based generator per row.
     """
-    udf = F.pandas_udf(_beta_sampler(), "double")
+    udf = F.arrow_udf(_beta_sampler(), "double")
     key = F.xxhash64(F.lit(seed), *[col(k) for k in keys])
     return udf(key, col(alpha).cast("double"), col(beta).cast("double"))

@@ -160,19 +160,18 @@ def simulate_results(
 ) -> DataFrame:
     """Scenario games with open results filled: draw strengths, predict, draw margins, fill.
 
-    Everything happens on the game row, so nothing but a small table of strengths is joined.
-    Games that stay as they are skip the draws; the split reaches the schedule itself, so
-    nothing is read or spread twice.
+    Everything happens on the game row, in one pass: nothing but a small table of strengths is
+    joined, and games that stay as they are get no draws (their parameters are blanked first).
     """
     require(games, "result", "week")
     open_game = F.col("result").isNull()
     if week is not None:
-        open_game = open_game & F.coalesce(F.col("week") == week, F.lit(False))
-    settled = attach_strengths(games.where(~open_game), strengths).select(*games.columns)
-    settled = settled.withColumn("result", F.col("result").cast("int"))
-    drawn = draw_game_strengths(attach_strengths(games.where(open_game), strengths), seed)
-    filled = fill_results(_with_margin(drawn, model, sigma, seed, key), week)
-    return settled.unionByName(filled.select(*games.columns))
+        open_game = open_game & (F.col("week") == week)
+    rows = attach_strengths(games, strengths)
+    parameters = [c for c in rows.columns if c not in games.columns]
+    rows = rows.withColumns({c: F.when(open_game, F.col(c)) for c in parameters})
+    rows = _with_margin(draw_game_strengths(rows, seed), model, sigma, seed, key)
+    return fill_results(rows, week).select(*games.columns)
 
 
 def predict_week(
