@@ -10,6 +10,7 @@ from ..operators import features as X
 from ..operators import relate as R
 from ..operators import reshape as E
 from ..plans import history as H
+from ..plans.strength import expected_wins
 from ..sources import fixtures as fx
 from ..sources import tables as src
 from . import query
@@ -393,10 +394,7 @@ def format_percent(spark, d):
 )
 def season_length_scale(spark, d):
     final = H.season_final_table(fx.games(spark, d), codes={})
-    lengths = R.small(fx.season_length(spark, d))
-    return rounded(
-        R.left_join_on(final, lengths, ["season"]).select("season", "team", (F.col("final_wp") * F.col("games")).alias("exp_wins"))
-    )
+    return rounded(expected_wins(final, "final_wp", fx.season_length(spark, d)).drop("final_wp"))
 
 
 # ------------------------------------------------------------------ E. reshape

@@ -17,6 +17,9 @@ RATING_TEAM_CODES = {"LAR": "LA", "OAK": "LV", "WSH": "WAS"}
 RATING_MEAN = 1505.0
 RATING_PULL = 1.0 / 3.0
 
+# Scheduled games per team, and the last season of the shorter schedule.
+SHORT_SEASON_GAMES, LONG_SEASON_GAMES, LAST_SHORT_SEASON = 16, 17, 2020
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -64,6 +67,12 @@ def mean_reversion(rating: Column | str, mean: float = RATING_MEAN, pull: float
     return rating - F.lit(pull) * (rating - F.lit(mean))
 
 
+def scheduled_games(season: Column | str) -> Column:
+    """Scheduled games per team: one rule for every place that turns a share into wins."""
+    short = col(season) <= LAST_SHORT_SEASON
+    return F.when(short, SHORT_SEASON_GAMES).when(~short, LONG_SEASON_GAMES)
+
+
 def round_away(c: Column | str) -> Column:
     """Round away from zero to whole numbers; 0 and NULL stay."""
     c = col(c)
@@ -107,8 +116,9 @@ def compose_key(*parts: Column | str) -> Column:
     return F.concat(*[col(p).cast("string") for p in parts])
 
 
-def template(text: str, **values: Column | str) -> Column:
-    """Fill ``{name}`` places in a text with columns; a missing value prints as NA."""
+def template(text: str, keep_null: bool = False, **values: Column | str) -> Column:
+    """Fill ``{name}`` places in a text with columns; a missing value prints as NA, or makes the
+    whole text NULL with ``keep_null``."""
     pieces: list[Column] = []
     rest = text
     while "{" in rest:
@@ -117,7 +127,7 @@ def template(text: str, **values: Column | str) -> Column:
         if head:
             pieces.append(F.lit(head))
         value = col(values.get(name, name)).cast("string")
-        pieces.append(F.coalesce(value, F.lit("NA")))
+        pieces.append(value if keep_null else F.coalesce(value, F.lit("NA")))
     if rest:
         pieces.append(F.lit(rest))
     return F.concat(*pieces) if pieces else F.lit("")

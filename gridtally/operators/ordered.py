@@ -5,7 +5,8 @@ are small (one exchange, one sort for all running columns), so it is what ``orde
 when a counting pass finds no group above ``hot_rows``. Otherwise every larger group is cut
 into ordered blocks of about ``hot_rows`` rows:
 
-* cut points come from a hash sample of the order key, a pure function of the rows;
+* cut points come from a hash sample of the order key, a pure function of the rows, and are
+  stored (at most ``max_blocks`` per large group) so that every reader sees the same ones;
 * block totals are pre-aggregated on the map side, and a window over those totals (at most
   ``max_blocks`` rows per group) gives each block its starting values;
 * rows are shuffled by (keys, block) once, which serves both the join with the starting
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col
+from ..sources.shared import settle
 
 HOT_ROWS = 5_000_000
 MAX_BLOCKS = 1_000
@@ -233,7 +235,7 @@ def ordered(
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
     if not hot.limit(1).count():
         return Ordered(df, keys, order, blocked=False)
-    cuts = _cut_points(df, hot, keys, order, hot_rows, max_blocks)
+    cuts = settle(_cut_points(df, settle(hot), keys, order, hot_rows, max_blocks))
     rows = attach(df, cuts, keys, "left")
     place = F.struct(*order)
     block = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= place)), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import compose_key, if_else, number_text, percent_text, strip_first, template
+from ..functions.scalars import if_else, number_text, percent_text, strip_first, template
 from ..functions.strict import strict_mean, strict_share
 from ..operators.aggregate import histogram_unit
 from ..operators.columns import require
@@ -16,6 +16,16 @@ from ..operators.ordered import HOT_ROWS, dense_position, ordered
 from ..operators.relate import bind_rows, sort_multi
 from ..sources.shared import settle
 
+# Texts of the reports.
+MATCHUP_TITLE = "{away_team} @ {home_team}"
+HOME_TITLE = "Week {week} vs {away_team}"
+AWAY_TITLE = "Week {week} @ {home_team}"
+WEEK_LABEL = "{winner} wins {win_prob}\nwith an expected MOV of {exp_result} points"
+SEASON_LABEL = "{winner} wins {win_prob}\nExpected MOV: {exp_result} points"
+HOME_LABEL = "{home_team} wins ->"
+AWAY_LABEL = "<- {away_team} wins"
+SCHEDULE_TITLE = "{season} Schedule: {team_name}"
+
 
 def _game_keys(games: DataFrame) -> list[str]:
     return [c for c in ("season", "week", "away_team", "home_team") if c in games.columns]
@@ -47,8 +57,8 @@ def _favourite(summary: DataFrame) -> DataFrame:
 
 def _side_labels() -> dict[str, Column]:
     return {
-        "home_label": template("{home_team} wins ->"),
-        "away_label": template("<- {away_team} wins"),
+        "home_label": template(HOME_LABEL),
+        "away_label": template(AWAY_LABEL),
     }
 
 
@@ -59,10 +69,8 @@ def weekly_projection(games: DataFrame, week: int | None = None, hot_rows: int =
         games = games.where(F.col("week") == week)
     rows = _favourite(_game_summary(games)).withColumns(
         {
-            "clean_title": compose_key("away_team", F.lit(" @ "), "home_team"),
-            "label": template(
-                "{winner} wins {win_prob}\nwith an expected MOV of {exp_result} points"
-            ),
+            "clean_title": template(MATCHUP_TITLE, keep_null=True),
+            "label": template(WEEK_LABEL),
             **_side_labels(),
         }
     )
@@ -77,7 +85,7 @@ def weekly_histogram(games: DataFrame, week: int | None = None, n_sims: int = 10
     if week is not None:
         games = games.where(F.col("week") == week)
     fill = if_else(F.col("result") > 0, F.col("preferred_color_home"), F.col("preferred_color_away"))
-    title = compose_key("away_team", F.lit(" @ "), "home_team")
+    title = template(MATCHUP_TITLE, keep_null=True)
     period = [c for c in ("season", "week") if c in games.columns]
     return histogram_unit(
         games.withColumns({"fill_col": fill, "clean_title": title}),
@@ -99,29 +107,28 @@ def team_season_projection(
         games = games.where((F.col("home_team") == team) | (F.col("away_team") == team))
     rows = _favourite(_game_summary(games))
     sides = F.array(
-        F.struct(F.col("home_team").alias("team"), template(" vs {away_team}").alias("setting")),
-        F.struct(F.col("away_team").alias("team"), template(" @ {home_team}").alias("setting")),
+        F.struct(F.col("home_team").alias("team"), template(HOME_TITLE).alias("clean_title")),
+        F.struct(F.col("away_team").alias("team"), template(AWAY_TITLE).alias("clean_title")),
     )
     rows = rows.select("*", F.inline(sides))
     if team is not None:
         rows = rows.where(F.col("team") == team)
     rows = rows.withColumns(
         {
-            "clean_title": compose_key(F.lit("Week "), "week", "setting"),
-            "label": template("{winner} wins {win_prob}\nExpected MOV: {exp_result} points"),
+            "label": template(SEASON_LABEL),
             **_side_labels(),
         }
     )
     keys = [c for c in ("season", "team") if c in rows.columns]
     placed = ordered(rows, keys, ["week"], hot_rows).running(title_level=dense_position()).frame
-    return placed.drop("margin", "home_share", "setting", "win_prob_num")
+    return placed.drop("margin", "home_share", "win_prob_num")
 
 
 def schedule_title(names: DataFrame, team: str, season: int) -> DataFrame:
     """One row with the title of a team's schedule report."""
     require(names, "team_abbr", "team_name")
     return names.where(F.col("team_abbr") == team).select(
-        "team_abbr", template("{season} Schedule: {team_name}", season=F.lit(season)).alias("title")
+        "team_abbr", template(SCHEDULE_TITLE, season=F.lit(season)).alias("title")
     )
 
 

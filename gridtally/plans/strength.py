@@ -13,6 +13,7 @@ from ..functions.scalars import (
     beta_beta,
     beta_struct,
     clip_probability,
+    scheduled_games,
 )
 from ..operators.columns import filter_started, filter_without, require
 from ..operators.features import (
@@ -32,7 +33,7 @@ from ..operators.fit import (
     quasibinomial_smooth_fit,
 )
 from ..operators.ordered import HOT_ROWS, attach, ordered, previous
-from ..operators.relate import best_candidate, sort_multi
+from ..operators.relate import best_candidate, left_join_on, small, sort_multi
 from ..operators.splits import group_split, kfold, stratified_split
 from .history import running_team_stats, team_games, with_league_stats, with_outcome
 
@@ -155,6 +156,16 @@ def fit_strength_model(
     return strength_model(rows.where(F.col("split") == "train"), smoothing, n_knots), rows
 
 
+def expected_wins(scored: DataFrame, share: str = "pred", lengths: DataFrame | None = None) -> DataFrame:
+    """Add ``exp_wins``: a share of wins times the season's games, from a (season, games) table
+    or, without one, from the fixed rule."""
+    require(scored, "season", share)
+    if lengths is None:
+        return scored.withColumn("exp_wins", F.col(share) * scheduled_games("season"))
+    joined = left_join_on(scored, small(lengths.withColumnRenamed("games", "__games")), ["season"])
+    return joined.withColumn("exp_wins", F.col(share) * F.col("__games")).drop("__games")
+
+
 def beta_columns(scored: DataFrame) -> DataFrame:
     """Beta parameters from prediction and standard error. The share is kept inside
     [1e-6, 1 - 1e-6]; a standard error too large for any Beta gives NULL parameters."""

@@ -196,6 +196,7 @@ def test_keys_and_templates_treat_null_apart(spark):
     df = spark.createDataFrame([("a", None)], "x string, y int")
     row = df.select(S.compose_key("x", F.lit("_"), "y").alias("k"), S.template("{x}:{y}!").alias("t")).first()
     assert row["k"] is None and row["t"] == "a:NA!"
+    assert df.select(S.template("{x}:{y}!", keep_null=True)).first()[0] is None
 
 
 def test_long_and_back(league):
@@ -334,6 +335,13 @@ def test_new_team_and_early_seasons_are_left_out(spark):
     assert sorted(map(tuple, T.strength_training_rows(df).collect())) == [(2000, "A"), (2003, "HOU")]
 
 
+def test_season_length_rule(spark):
+    df = spark.createDataFrame([(2020, 0.5), (2021, 0.5), (None, 0.5)], "season int, pred double")
+    assert [r["exp_wins"] for r in T.expected_wins(df).collect()] == [8.0, 8.5, None]
+    table = spark.createDataFrame([(2020, 10)], "season int, games int")
+    assert [r["exp_wins"] for r in T.expected_wins(df, lengths=table).orderBy(F.desc("season")).collect()] == [None, 5.0, None]
+
+
 def test_missing_columns_are_named(spark):
     df = spark.range(1)
     with pytest.raises(ValueError, match="missing column\\(s\\) week"):
