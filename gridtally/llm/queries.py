@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +48,22 @@ def op6_suffix_decontamination(spark, sf_dir):
         (F.col("leak_hits") > 0).alias("contaminated"),
         F.col("leak_longest.words").alias("longest_match"),
     )
+
+
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op10_secret_ownership(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    base = F.filter("secrets", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    return secrets.find_secrets(docs).select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed("secrets").alias("spans"),
+        F.size(F.filter("secrets", lambda s: s["example"])).alias("n_examples"),
+        F.size(F.filter("secrets", lambda s: ~s["example"])).alias("n_live"),
+    )
