@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets
+from . import bpe, decontaminate, licenses, secrets
+from .license_texts import KNOWN, SPELLINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +51,48 @@ def op6_suffix_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op9_license_digests(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _license_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def canonical(x):
+        x = f"regexp_replace(lower({x}), {quote(licenses._COPYRIGHT)}, '', 'g')"
+        x = f"regexp_replace({x}, {quote('[^\\p{L}\\p{N}' + chr(10) + ']+')}, ' ', 'g')"
+        x = f"trim(regexp_replace({x}, {quote(' ?' + chr(10) + '[ ' + chr(10) + ']*')}, chr(10), 'g'), ' ' || chr(10))"
+        for a, b in SPELLINGS:
+            x = f"replace({x}, {quote(a)}, {quote(b)})"
+        return x
+
+    def whole(x):
+        x = f"replace({x}, chr(10), ' ')"
+        for a, b in SPELLINGS:
+            x = f"replace({x}, {quote(a)}, {quote(b)})" if " " in a else x
+        return x
+
+    rows = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
+    return f"""
+    WITH known AS (
+      SELECT digest, min(license) AS license
+      FROM (SELECT license, sha256({whole('t')}) AS digest
+            FROM (SELECT license, {canonical('text')} AS t FROM (VALUES {rows}) v(license, text)))
+      GROUP BY digest),
+    canon AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS t FROM documents),
+    parts AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS value, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM canon)
+    SELECT doc_id, 'text' AS unit, 0 AS line, c.digest AS digest, license
+    FROM (SELECT doc_id, sha256({whole('t')}) AS digest FROM canon) c LEFT JOIN known USING (digest)
+    UNION ALL
+    SELECT doc_id, 'line', line::INTEGER, p.digest, license
+    FROM (SELECT doc_id, line, sha256(value) AS digest FROM parts) p JOIN known USING (digest)
+    """
+
+
+ORACLE["op9_license_digests"] = _license_sql()
+
+
 def _listed(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
