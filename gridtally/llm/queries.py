@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, secrets
+from . import bpe, decontaminate, licenses, secrets, severity
 from .license_texts import KNOWN, SPELLINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,21 @@ def op4_byte_bpe(spark, sf_dir):
     )
 
 
+def graded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 0: not toxic; 1: toxic; 2: toxic and of low quality."""
+    grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
+    return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+@query
+def op5_severity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = severity.fit_severity(docs, graded_labels(spark, sf_dir), "grade")
+    return severity.score_severity(docs, model).select(
+        "doc_id", "expected_severity", "grade", (F.col("p_above") >= 0.5).alias("toxic")
+    )
+
+
 @query
 def op6_suffix_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
