@@ -126,16 +126,19 @@ def distinct(h: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.
     return h[new], np.searchsorted(doc[new], np.arange(docs + 1))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with about ``limit`` bytes of text each, for bounded memory. A longer
-    text is a part of its own."""
+def pieces(
+    batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 21, rows: int = 4096
+) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about ``limit`` bytes of text and at most ``rows`` rows each, for
+    bounded memory. A longer text is a part of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = np.diff(text_bytes(batch.column(column))[1])
         part = (np.cumsum(size) - size) // limit
         for lo, hi in zip(*_runs(part)):
-            yield batch.slice(lo, hi - lo)
+            for at in range(lo, hi, rows):
+                yield batch.slice(at, min(rows, hi - at))
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
