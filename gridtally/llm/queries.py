@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, near_copies, secrets, severity
+from . import bpe, decontaminate, licenses, near_copies, secrets, severity, surrogates
 from .license_texts import KNOWN, SPELLINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,15 @@ def op2_odd_sketch_near_copies(spark, sf_dir):
     return near_copies.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85)
 
 
+SURROGATE_KEY = "corpus-surrogates"
+
+
+@query
+def op3_surrogates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, SURROGATE_KEY)
+
+
 @query
 def op4_byte_bpe(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
