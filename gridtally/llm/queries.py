@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, near_copies, secrets, severity, surrogates
+from . import bpe, decontaminate, knn, licenses, near_copies, secrets, severity, surrogates
 from .license_texts import KNOWN, SPELLINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,27 @@ def op6_suffix_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op8_voronoi_top_k(spark, sf_dir):
+    return knn.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+ORACLE["op8_voronoi_top_k"] = """
+WITH p AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.r AS qr, q.vec_id AS query_id, p.vec_id AS vec_id, p.r AS r, list_inner_product(q.v, p.v)::BIGINT AS score
+  FROM p q JOIN p ON q.r <> p.r AND len(q.v) = len(p.v)
+  WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, r) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+
 @query
 def op9_license_digests(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
