@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, knn, licenses, near_copies, secrets, severity, surrogates
+from . import bpe, decontaminate, knn, licenses, near_copies, passages, pseudo_likelihood, secrets, severity, surrogates
 from .license_texts import KNOWN, SPELLINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_chained_passages(spark, sf_dir):
+    return passages.shared_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op2_odd_sketch_near_copies(spark, sf_dir):
     return near_copies.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85)
@@ -80,6 +85,15 @@ def op6_suffix_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op7_pseudo_likelihood(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+    return scored.select(
+        "doc_id", F.col("lm_tokens").alias("n_tokens"), F.col("lm_log_likelihood").alias("log_likelihood"), F.col("lm_mean").alias("mean")
+    )
+
+
 @query
 def op8_voronoi_top_k(spark, sf_dir):
     return knn.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
