@@ -237,8 +237,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     ``path`` names a rank file on the driver; the vocabulary (a megabyte or so) is broadcast. Every
     match of ``pattern`` is encoded on its own, without special tokens. A null text is empty and
-    has no ids; equal texts are encoded one by one to equal ids; a text may have any length.
+    has no ids; equal texts are encoded one by one to equal ids; a text may have any length. A given
+    column named ``ids`` is replaced.
     """
+    docs = docs.drop(ids)
     sent = docs.sparkSession.sparkContext.broadcast(_Sent(read_ranks(path)))
     columns = docs.columns
 
@@ -254,7 +256,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes of an ``array<int>`` of token ids (null ids: no bytes). An id outside the
-    vocabulary is an error."""
+    vocabulary is an error. A given column named ``out`` is replaced."""
+    docs = docs.drop(out)
     sent = docs.sparkSession.sparkContext.broadcast(_Sent(read_ranks(path)))
     columns = docs.columns
 

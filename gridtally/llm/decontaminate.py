@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, pieces, row_schema, words
+from .words import ALNUM, pieces, put_back, row_schema, set_aside, words
 
 WINDOW = 10
 #: Bytes of benchmark text in one block. Blocks are searched one after the other.
@@ -145,7 +145,7 @@ def _search(p: Probe, part: pa.RecordBatch, text: str):
         found = np.minimum(np.searchsorted(p.vocabulary, w.hash), len(p.vocabulary) - 1)
         ids[np.arange(len(w)) + w.doc] = np.where(p.vocabulary[found] == w.hash, found + 1, 0)
     array = suffix_array(ids, p.deepest)
-    best, place = longest_matches(ids, array, p)
+    best = longest_matches(ids, array, p)[0]
     doc_of = lambda at: np.searchsorted(closed, at, side="right") - 1
     edge = np.zeros(len(ids) + 1, np.int64)
     long_ = np.flatnonzero((best >= p.need) & (p.left >= p.need))
@@ -154,7 +154,7 @@ def _search(p: Probe, part: pa.RecordBatch, text: str):
     if len(long_):
         lo = _bound(ids, array, p.ids, long_, p.need[long_], upper=False)
         hi = _bound(ids, array, p.ids, long_, p.need[long_], upper=True)
-        docs, items = [], []
+        docs, items, places, suffixes = [], [], [], []
         # Equal windows share one range of the array: its places are visited once for all of them.
         ranges, same = np.unique(np.stack([lo, hi, p.need[long_]]), axis=1, return_inverse=True)
         same = same.reshape(-1)
@@ -164,16 +164,21 @@ def _search(p: Probe, part: pa.RecordBatch, text: str):
             at = array[ranges[0, r] : ranges[1, r]]
             edge[at] += 1
             edge[at + ranges[2, r]] -= 1
-            own = np.unique(p.item[long_[by[cut[r] : cut[r + 1]]]])
+            equal = long_[by[cut[r] : cut[r + 1]]]
+            own = np.unique(p.item[equal])
+            places.append(np.repeat(at, len(equal)))
+            suffixes.append(np.tile(equal, len(at)))
             inside = np.unique(doc_of(at))
             docs.append(np.repeat(inside, len(own)))
             items.append(np.tile(own, len(inside)))
         pairs = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)]), axis=1)
         pair_doc, pair_item = pairs
-        for s in long_[np.argsort(-best[long_], kind="stable")].tolist():
-            d = int(doc_of(place[s]))
-            if best[s] > top[d][0]:
-                top[d] = (int(best[s]), p.names[p.item[s]], int(place[s] - closed[d]))
+        at, suffix = np.concatenate(places), np.concatenate(suffixes)
+        length, where = common(ids, at, p.ids, suffix, p.left[suffix]), doc_of(at)
+        order = np.lexsort((at, p.item[suffix], -length, where))
+        for x in order[np.unique(where[order], return_index=True)[1]].tolist():
+            d = int(where[x])
+            top[d] = (int(length[x]), p.names[p.item[suffix[x]]], int(at[x] - closed[d]))
     covered = np.cumsum(edge[:-1]) > 0
     hit = [np.packbits(covered[closed[d] : closed[d] + count[d]]).tobytes() for d in range(len(count))]
     cut = np.searchsorted(pair_doc, np.arange(len(count) + 1))
@@ -200,14 +205,16 @@ def find_leaks(
 
     ``leak_words`` (words of the document), ``leak_hits`` (words inside an occurrence of a window),
     ``leak_items`` (ids of the items found, as sorted strings) and ``leak_longest`` (words of the
-    longest match found, its item, and the word at which it begins).
+    longest match, its item, and the word at which it begins; of equals the least item and place).
 
     A window is ``window`` consecutive words of an item, or the whole item if it has fewer. A null
     or empty text has no words and no hits; items without words or id are no items; a repeated item
     counts once, and equal windows of several items count for each. Repeated documents are searched
-    one by one. Documents may be of any length: one longer than a shard is a shard of its own.
+    one by one. Documents may be of any length: one longer than a shard is a shard of its own. A
+    given column of the name of an added one is replaced.
     """
     spark = docs.sparkSession
+    docs = docs.drop("leak_words", "leak_bits", "leak_hits", "leak_items", "leak_longest")
     state = ["leak_words bigint", "leak_bits binary", "leak_items array<string>", "leak_longest struct<words:int,item:string,at:int>"]
     schema, columns = row_schema(docs, *state), docs.columns
     out = docs
@@ -222,7 +229,7 @@ def find_leaks(
                     hit = [bytes(x | y for x, y in zip(a, c)) for a, c in zip(was["leak_bits"], hit)]
                     names = [a + c for a, c in zip(was["leak_items"], names)]
                     top = [
-                        t if a is None or t[0] > a["words"] else (a["words"], a["item"], a["at"])
+                        t if t[1] is not None and (-t[0], t[1], t[2]) < (-a["words"], a["item"] or "", a["at"] or 0) else (a["words"], a["item"], a["at"])
                         for a, t in zip(was["leak_longest"], top)
                     ]
                 yield pa.RecordBatch.from_arrays(
@@ -254,7 +261,9 @@ def _bits(name: str) -> Column:
     return count.cast("bigint")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no window of an item occurs."""
-    return find_leaks(docs, benchmark, **options).where(F.col("leak_hits") == 0).select(*docs.columns)
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents in which no window of an item occurs, with their columns."""
+    rows, names = set_aside(docs)
+    own = next(n for n, c in names.items() if c == text)
+    return put_back(find_leaks(rows, benchmark, own, **options).where(F.col("leak_hits") == 0), names)
 

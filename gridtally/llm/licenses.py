@@ -53,8 +53,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text: str = "
     no known licence text, and one for each line that is a known text of its own (``unit`` 'line',
     ``line`` from 1, counted over canonical lines). A null text is empty, and an empty text has the
     digest of '' and no licence unless the known texts have it. Repeated documents are scanned one
-    by one. All other columns are kept.
+    by one. All other columns are kept, but for those of the names that are added.
     """
+    docs = docs.drop("unit", "line", "digest", "license", "license_text")
     if known is None:
         known = known_digests(docs.sparkSession)
     lengths = [r[0] for r in known.select("length").distinct().limit(BROADCAST_DIGESTS + 1).collect()]

@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
+from .bits import bitmap, marked
 from .linked import components
-from .words import SPACED, U64, distinct, groups, mix, pieces, shingles, signed, words
+from .words import SPACED, U64, distinct, groups, mix, pieces, put_back, set_aside, shingles, signed, words
 
 #: Samples to a band. More make band keys rarer among dissimilar texts; fewer need fewer bands.
 BAND_ROWS = 5
@@ -276,6 +277,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     members = group.join(classes.select(F.col("key").alias("node"), "th", "n"), "node")
     members = settle(members.join(members.groupBy("component").agg(F.sum("n").alias("size")), "component"))
     texts = docs.select(F.col(key).cast("long").alias("node"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    # Only the texts of candidates are shuffled.
+    texts = marked(texts, "node", settle(bitmap(members, "node")), "wanted").where("wanted")
     rows = members.join(texts, ["node", "th"]).select("component", "size", F.col("node").alias("key"), "text")
     met = _in_blocks(rows, "component", "size", GROUP_BLOCK, "key")
     confirmed = met.select("component", "i", "j", "mine", "key", "text").mapInArrow(
@@ -300,5 +303,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The document of the smallest key of each group, and all documents without a group."""
     found = near_copies(docs, key, text, shingle, percent)
-    gone = found.where(~F.col("kept")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    gone = settle(found.where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("gone")).distinct())
+    rows, names = set_aside(docs)
+    own = next(n for n, c in names.items() if c == key)
+    # Documents that no bit of the bitmap marks are not shuffled.
+    rows = marked(rows, own, settle(bitmap(gone, "gone")), "asked")
+    sure = rows.where(~F.col("asked"))
+    asked = rows.where("asked")
+    return put_back(sure.unionByName(asked.join(gone, asked[own].cast("long") == gone["gone"], "left_anti")), names)

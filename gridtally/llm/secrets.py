@@ -114,9 +114,14 @@ def find_secrets(
     ``secrets`` holds all spans by start and kind as (kind, start, end, hash, base, owners,
     repositories, example); ``example`` is true when ``example_owners`` or more owners have the
     secret. Repositories are counted within owners. A null or empty text has no spans. Repeated
-    rows stay repeated. Offsets are code points, the end exclusive.
+    rows stay repeated. Offsets are code points, the end exclusive. A given column ``secrets`` is
+    replaced.
     """
     row = "secrets_row"
+    names = {f"column_{i}": c for i, c in enumerate(docs.columns)}
+    named = {c: n for n, c in names.items()}
+    docs = docs.toDF(*names)
+    text, owner, repository = named[text], named[owner], named[repository]
     found = settle(scan(docs, text).withColumn(row, F.monotonically_increasing_id()))
     both = F.concat(
         F.transform("base", lambda s: s.withField("base", F.lit(True))),
@@ -145,8 +150,7 @@ def find_secrets(
             )
         ).alias("secrets")
     )
-    kept = [c for c in docs.columns if c != text]
     return found.join(told, row, "left").select(
-        *kept,
+        *[F.col(n).alias(c) for n, c in names.items() if n != text and c != "secrets"],
         F.coalesce("secrets", F.array().cast(told.schema["secrets"].dataType)).alias("secrets"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from .words import ALNUM, U64, distinct, mix, pieces, row_schema, signed, text_bytes, words
+from .words import ALNUM, U64, distinct, mix, pieces, put_back, row_schema, set_aside, signed, text_bytes, words
 
 SAMPLE_ROWS = 20_000
 SELECTED = 4_096
@@ -176,7 +176,8 @@ def fit_severity(
 def score_severity(docs: DataFrame, model: OrdinalModel | None, text: str = "text") -> DataFrame:
     """Add ``expected_severity``, ``p_above`` (P(grade > 0)) and ``grade`` (the most probable, the
     lower of equals). A null or empty text has no features and gets the model's base rate; without
-    a model all three are null."""
+    a model all three are null. A given column of the name of an added one is replaced."""
+    docs = docs.drop("expected_severity", "p_above", "grade")
     state = ["expected_severity double", "p_above double", "grade int"]
     if model is None:
         return docs.selectExpr("*", *[f"cast(null as {t}) as {c}" for c, t in (x.split() for x in state)])
@@ -201,6 +202,7 @@ def score_severity(docs: DataFrame, model: OrdinalModel | None, text: str = "tex
 
 
 def drop_severe(docs: DataFrame, model: OrdinalModel | None, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """Documents whose P(grade > 0) is below ``limit``; without a model, all."""
-    scored = score_severity(docs, model, text)
-    return scored.where(F.coalesce(F.col("p_above") < limit, F.lit(True))).select(*docs.columns)
+    """Documents whose P(grade > 0) is below ``limit``, with their columns; without a model, all."""
+    rows, names = set_aside(docs)
+    scored = score_severity(rows, model, next(n for n, c in names.items() if c == text))
+    return put_back(scored.where(F.coalesce(F.col("p_above") < limit, F.lit(True))), names)

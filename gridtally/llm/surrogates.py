@@ -247,8 +247,9 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", count: str =
 
     ``key`` is the secret that surrogates depend on. A null text stays null with no entities; an
     empty text stays empty. Texts without entities are not shuffled. Equal texts get equal results;
-    repeated rows stay. All other columns, whatever their names, are kept.
+    repeated rows stay. All other columns, whatever their names, are kept, but for one named ``count``.
     """
+    docs = docs.drop(count)
     cued = F.coalesce(F.col(text).rlike(CUE), F.lit(False))
     columns = docs.columns
     none = docs.where(~cued).withColumn(count, F.lit(0))

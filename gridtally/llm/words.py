@@ -173,6 +173,17 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def set_aside(docs):
+    """The same rows under names that clash with nothing, and the given names by the new ones."""
+    names = {f"column_{i}": c for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names), names
+
+
+def put_back(rows, names: dict[str, str]):
+    """The columns of ``set_aside`` under the names that were given."""
+    return rows.select(*names).toDF(*names.values())
+
+
 def row_schema(df, *extra: str) -> str:
     """The columns of a frame and further ones, as text for ``mapInArrow``."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *extra])
