@@ -107,7 +107,8 @@ def strength_table(spark, d):
     preseason = _preseason(spark, d)
     first = T.preseason_model(preseason)
     history = H.team_game_history(games, codes={})
-    second = T.strength_model(T.strength_inputs(history, preseason, first))
+    # A team of the stand-in games plays hundreds in a season, so their number is no factor here.
+    second = T.strength_model(T.strength_inputs(history, preseason, first), factors=["week"])
     table = T.strength_table(preseason, first, T.current_state(games, None, 12), second)
     return rounded(C.derive_cols(table, alpha=F.col("strength_dist.alpha"), beta=F.col("strength_dist.beta")).drop("strength_dist"), 4)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as A
 from ..operators import features as X
 from ..operators import fit as M
 from ..operators import relate as R
@@ -253,7 +254,7 @@ _GRID = [0.1, 1.0, 10.0, 100.0]
 
 def _grid_text() -> str:
     """Cross-validated rmse: fold sums at the fit of all folds, one solve per fold and candidate."""
-    bucket = "CAST('0x' || substr(md5('11|' || season || '|' || team), 1, 8) AS BIGINT) % 10 + 1"
+    bucket = "CAST('0x' || substr(md5('11|' || season || '|' || team), 9, 8) AS BIGINT) % 10 + 1"
     steps = _logit_steps("1.0")
     views = {
         **steps,
@@ -302,11 +303,16 @@ def binomial_smooth_fit(spark, d):
 
 
 def _strength_inputs(spark, d):
-    """Regular-season history with last season's share of wins as initial rating."""
+    """Regular-season history with last season's share of wins as initial rating.
+
+    A team of the stand-in games plays hundreds in a season; ``game_num`` is put on a scale of 1 to
+    17, so that it is the factor that it is with one game a week."""
     games = fx.games(spark, d)
     history = H.team_game_history(games, codes={})
     final = H.season_final_table(games, codes={})
     rows = history.where(F.col("game_type") == "REG")
+    rows = A.group_stat_attach(rows, ["season", "team"], season_games=F.max("game_num"))
+    rows = rows.withColumn("game_num", F.ceil(F.col("game_num") * 17 / F.col("season_games")).cast("int"))
     return R.prior_period_join(rows, final, ["team"], "final_wp", "initial_rating")
 
 

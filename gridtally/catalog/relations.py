@@ -393,8 +393,8 @@ def group_linear_fit(spark, d):
     return rounded(K.group_linear_fit(fx.predictions(spark, d), ["week"], "truth", "estimate"))
 
 
-def _bucket(key: str, seed: int = 5) -> str:
-    return f"CAST('0x' || substr(md5('{seed}|' || {key}), 1, 8) AS BIGINT)"
+def _bucket(key: str, seed: int = 5, word: int = 0) -> str:
+    return f"CAST('0x' || substr(md5('{seed}|' || {key}), {1 + 8 * word}, 8) AS BIGINT)"
 
 
 @query(
@@ -402,7 +402,7 @@ def _bucket(key: str, seed: int = 5) -> str:
     sql(
         f"SELECT metric, {rd('avg(estimate) AS mean', 'stddev_samp(estimate) / sqrt(count(*)) AS std_err')}, count(*) AS n FROM m GROUP BY metric",
         "predictions",
-        folded=f"SELECT *, {_bucket('game_id')} % 10 + 1 AS fold FROM predictions",
+        folded=f"SELECT *, {_bucket('game_id', word=1)} % 10 + 1 AS fold FROM predictions",
         m=_metrics("fold", "folded"),
     ),
 )
@@ -446,6 +446,6 @@ def group_split(spark, d):
     return L.group_split(rows, "id", 5)
 
 
-@query("l4_kfold", sql(f"SELECT game_id, CAST({_bucket('game_id')} % 10 + 1 AS INTEGER) AS fold FROM games", "games"))
+@query("l4_kfold", sql(f"SELECT game_id, CAST({_bucket('game_id', word=1)} % 10 + 1 AS INTEGER) AS fold FROM games", "games"))
 def kfold(spark, d):
     return L.kfold(fx.games(spark, d).select("game_id"), ["game_id"], 5)

@@ -88,9 +88,11 @@ def _beta_sampler():
 def draw_beta(alpha: Column | str, beta: Column | str, *keys: Column | str, seed: int) -> Column:
     """Beta draw per row, keyed by (seed, keys); NULL when alpha or beta is missing or not positive.
 
-    The key is hashed in the JVM; the rejection step has no closed form, so it runs on
-    Arrow batches with a counter-based generator per row.
+    The key is 64 bits of the md5 of the keys as text, whatever whole-number type they have; the
+    rejection step has no closed form, so it runs on Arrow batches with a counter-based generator
+    per row.
     """
     udf = F.arrow_udf(_beta_sampler(), "double")
-    key = F.xxhash64(F.lit(seed), *[col(k) for k in keys])
+    parts = [unit_hash(*keys, seed=seed, word=w) for w in (0, 1)]
+    key = F.shiftleft(parts[0], 32).bitwiseOR(parts[1])
     return udf(key, col(alpha).cast("double"), col(beta).cast("double"))

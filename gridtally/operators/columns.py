@@ -69,10 +69,10 @@ def relocate_cols(df: DataFrame, *names: str, before: str | None = None, after:
 def label_from_lookup(df: DataFrame, lookup: DataFrame, where: Column, value: Column, name: str) -> DataFrame:
     """Put one value of a small lookup table on every row, without a trip to the driver.
 
-    The lookup is reduced to one row by the aggregate, so what is joined to every row is one
-    value whatever the lookup holds.
+    The lookup is reduced to one row by the aggregate, the least value if several rows meet the
+    condition, so what is joined to every row is one value whatever the lookup holds.
     """
-    one = lookup.where(where).agg(F.first(value, ignorenulls=True).alias(name))
+    one = lookup.where(where).agg(F.min(value).alias(name))
     return df.withColumn(name, one.scalar())
 
 

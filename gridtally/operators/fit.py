@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,18 @@ MAX_COLUMNS = 400
 MAX_FOLDS = 100
 
 
+class NotConverged(RuntimeError):
+    """A fit that ran out of steps."""
+
+
+def _stored_rows(df: DataFrame) -> list:
+    """The rows of a stored model by place; more than the columns a model may have is an error."""
+    rows = df.orderBy("pos").limit(MAX_COLUMNS + 2).collect()
+    if not 0 < len(rows) <= MAX_COLUMNS + 1:
+        raise ValueError(f"a stored model has 1 to {MAX_COLUMNS + 1} rows, this table {len(rows)} or more")
+    return rows
+
+
 @contextmanager
 def held(df: DataFrame):
     """Keep a table that is read several times for the length of a block. Blocks that are lost
@@ -68,7 +81,7 @@ class LinearModel:
 
     @classmethod
     def from_frame(cls, df: DataFrame) -> LinearModel:
-        rows = df.orderBy("pos").limit(MAX_COLUMNS + 1).collect()
+        rows = _stored_rows(df)
         return cls(
             rows[0]["target"],
             tuple(r["term"] for r in rows[1:]),
@@ -118,6 +131,8 @@ def _linear_sums(df: DataFrame, names: Sequence[str], by: str | None) -> tuple[l
     """Sums per value of ``by`` around the overall means: two aggregates, so that large means do
     not cost digits."""
     k = len(names)
+    if k > MAX_COLUMNS + 1:
+        raise ValueError(f"{k - 1} features; the solve on the driver is meant for at most {MAX_COLUMNS}")
     keep = [F.col(by)] if by else []
     rows = df.select(*keep, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
     rows = rows.na.drop("any", subset=[f"v{i}" for i in range(k)])
@@ -234,6 +249,7 @@ class SmoothModel:
     deviance: float
     n: int
     steps: int
+    converged: bool = True
 
     def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
         """Response-scale prediction as a JVM expression; NULL when a predictor is missing.
@@ -262,7 +278,9 @@ class SmoothModel:
         the link scale and mapped back, so it stays inside (0, 1). A quadratic form per row is
         a matrix product per Arrow batch.
         """
-        z = {0.95: 1.959963984540054, 0.9: 1.6448536269514722, 0.99: 2.5758293035489004}[level]
+        if not 0 < level < 1:
+            raise ValueError(f"a confidence level lies between 0 and 1, not at {level}")
+        z = NormalDist().inv_cdf(0.5 + level / 2)
         packing = Packing.of(self.basis)
         score = F.pandas_udf(
             _scorer(packing.design(), self.beta, self.cov, z),
@@ -292,12 +310,13 @@ class SmoothModel:
                 "deviance": F.lit(self.deviance),
                 "n": F.lit(self.n).cast("long"),
                 "steps": F.lit(self.steps),
+                "converged": F.lit(self.converged),
             }
         )
 
     @classmethod
     def from_frame(cls, df: DataFrame) -> SmoothModel:
-        rows = df.orderBy("pos").limit(MAX_COLUMNS + 1).collect()
+        rows = _stored_rows(df)
         head = rows[0]
         return cls(
             head["target"],
@@ -309,6 +328,7 @@ class SmoothModel:
             head["deviance"],
             head["n"],
             head["steps"],
+            head["converged"],
         )
 
 
@@ -400,12 +420,17 @@ def smooth_fit(
     quasi: bool = False,
     max_steps: int = 25,
     tolerance: float = 1e-9,
+    must_converge: bool = True,
 ) -> SmoothModel:
     """Penalised logit fit of a share in [0, 1] by reweighted least squares.
 
     One pass over the rows per step; a pass returns (p + 1)^2 sums. With ``quasi`` the
     dispersion is estimated (Pearson chi-square / (n - edf)) and scales the covariance;
     otherwise it is 1. Rows with a missing value are left out.
+
+    A step that makes the penalised deviance larger is halved. A fit that has not settled after
+    ``max_steps`` raises ``NotConverged``, or with ``must_converge=False`` is returned with
+    ``converged`` false.
     """
     require(df, target)
     p = len(basis) + 1
@@ -415,7 +440,7 @@ def smooth_fit(
     design = packing.design()
     columns = df.select(F.col(target).cast("double").alias("y"), *packing.columns()).na.drop("any")
     penalty = penalty_diagonal(basis, smoothing, select)
-    beta, before, steps = None, math.inf, 0
+    beta, last, before, steps, converged = None, None, math.inf, 0, False
     with held(columns) as rows:
         while True:
             total = sum_vectors(rows, _working(design, beta), p * p + p + 3)
@@ -425,14 +450,21 @@ def smooth_fit(
                 raise ValueError("no complete rows to fit on")
             new, inverse = _solve(gram, right, penalty)
             objective = deviance + (0.0 if beta is None else float(penalty @ beta**2))
-            done = beta is not None and abs(before - objective) <= tolerance * (abs(objective) + 0.1)
-            if done or steps >= max_steps:
+            slack = tolerance * (abs(objective) + 0.1)
+            converged = beta is not None and abs(before - objective) <= slack
+            if converged or steps >= max_steps:
                 break
-            before, beta, steps = (objective if beta is not None else math.inf), new, steps + 1
+            steps += 1
+            if last is not None and objective > before + slack:
+                beta = (beta + last) / 2.0
+                continue
+            before, last, beta = (objective if beta is not None else math.inf), beta, new
+    if not converged and must_converge:
+        raise NotConverged(f"no settled fit after {steps} steps; the data may be separable without a penalty")
     edf = float(np.trace(inverse @ gram))
     dispersion = float(pearson / max(n - edf, 1.0)) if quasi else 1.0
     return SmoothModel(
-        target, tuple(basis), beta, inverse * dispersion, dispersion, edf, float(deviance), int(n), steps
+        target, tuple(basis), beta, inverse * dispersion, dispersion, edf, float(deviance), int(n), steps, bool(converged)
     )
 
 
@@ -454,12 +486,15 @@ def grid_search(
     target: str,
     basis: Sequence[Basis],
     fold: str = "fold",
-    folds: int = 10,
+    folds: int | None = None,
     grid: Sequence[float] | None = None,
     select: float = 0.0,
 ) -> DataFrame:
     """Cross-validated rmse of every smoothing multiplier.
 
+    The folds are the values of ``fold`` in the rows; a missing one, or more than MAX_FOLDS, is an
+    error, and so is one that is not 1 to ``folds`` where that is given.
+
     Candidates x folds would be hundreds of fits. Instead the Gram matrix of each fold is taken
     once, at the fit of all folds; leaving a fold out is a subtraction, a candidate is one
     solve on the driver, and one last pass scores every row with the candidates fitted
@@ -469,6 +504,12 @@ def grid_search(
     require(df, target, fold)
     grid = list(grid) if grid is not None else default_grid()
     p, c = len(basis) + 1, len(grid)
+    named = [r[0] for r in df.select(F.col(fold).cast("double")).distinct().limit(MAX_FOLDS + 1).collect()]
+    if None in named or not 0 < len(named) <= MAX_FOLDS:
+        raise ValueError(f"{fold} has to have 1 to {MAX_FOLDS} values and none missing")
+    if folds is not None and not set(named) <= set(range(1, folds + 1)):
+        raise ValueError(f"{fold} has values other than 1 to {folds}")
+    named, folds = sorted(named), len(named)
     base = smooth_fit(df, target, basis, 1.0, select)
     packing = Packing.of(basis)
     design = packing.design()
@@ -482,10 +523,10 @@ def grid_search(
                 import numpy
 
                 out = numpy.zeros((folds, one))
-                for f in range(1, folds + 1):
-                    mine = m[m[:, 0] == f]
+                for f, value in enumerate(named):
+                    mine = m[m[:, 0] == value]
                     if len(mine):
-                        out[f - 1] = step(mine[:, 1:])
+                        out[f] = step(mine[:, 1:])
                 return out.ravel()
 
             return fn
@@ -504,13 +545,13 @@ def grid_search(
                 import numpy
 
                 out = numpy.zeros((folds, c + 1))
-                for f in range(1, folds + 1):
-                    mine = m[m[:, 0] == f]
+                for f, value in enumerate(named):
+                    mine = m[m[:, 0] == value]
                     if len(mine):
                         x = design(mine[:, 2:])
-                        mu = 1.0 / (1.0 + numpy.exp(-numpy.clip(x @ betas[f - 1], -30.0, 30.0)))
-                        out[f - 1, :c] = ((mine[:, 1:2] - mu) ** 2).sum(axis=0)
-                        out[f - 1, c] = len(mine)
+                        mu = 1.0 / (1.0 + numpy.exp(-numpy.clip(x @ betas[f], -30.0, 30.0)))
+                        out[f, :c] = ((mine[:, 1:2] - mu) ** 2).sum(axis=0)
+                        out[f, c] = len(mine)
                 return out.ravel()
 
             return fn

@@ -84,13 +84,15 @@ def role_playing_join(games: DataFrame, dim: DataFrame, dim_key: str, roles: dic
 
 
 def scenario_inner_join(games: DataFrame, ratings: DataFrame, value: str = "pre_game_strength") -> DataFrame:
-    """Attach each side's rating of the same scenario; games without a rating go."""
+    """Attach each side's rating of the same scenario (and season, if both tables have one); games
+    without a rating go."""
     require(games, "sim", "away_team", "home_team")
     require(ratings, "sim", "team", value)
+    keys = [c for c in ("season", "sim") if c in games.columns and c in ratings.columns]
     for side in ("away", "home"):
         games = games.join(
-            ratings.select("sim", F.col("team").alias(f"{side}_team"), F.col(value).alias(f"{value}_{side}")),
-            ["sim", f"{side}_team"],
+            ratings.select(*keys, F.col("team").alias(f"{side}_team"), F.col(value).alias(f"{value}_{side}")),
+            [*keys, f"{side}_team"],
             "inner",
         )
     return games

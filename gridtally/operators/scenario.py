@@ -28,6 +28,8 @@ SCENARIOS = 10_000
 SIMS_PER_BLOCK = 50
 GAMES_PER_CHUNK = 20_000
 SMALLEST_CHUNK = 1_000
+#: A schedule of up to so many games lies in few partitions, and is spread before it is opened.
+SHORT_SCHEDULE = 100_000
 
 
 def _layout(n_sims: int, n_games: int, tasks: int) -> tuple[int, int]:
@@ -43,21 +45,25 @@ def _layout(n_sims: int, n_games: int, tasks: int) -> tuple[int, int]:
 def scenario_expand(schedule: DataFrame, n_sims: int = SCENARIOS, key: str = "game_id") -> DataFrame:
     """Every game of the schedule once per scenario (``sim`` 1 to ``n_sims``).
 
-    Rows are spread while they are few: each game is first repeated per block of scenarios and
-    hashed on (block, chunk of games), and only then opened into single scenarios, inside the
-    task. All games of a scenario share a task unless the schedule is long or there are too
-    few scenarios to keep the tasks busy; then the games are cut into chunks.
+    A short schedule is spread while its rows are few: each game is first repeated per block of
+    scenarios and hashed on (block, chunk of games), and only then opened into single scenarios,
+    inside the task. All games of a scenario share a task unless there are too few scenarios to
+    keep the tasks busy; then the games are cut into chunks. A schedule of more than
+    SHORT_SCHEDULE games is spread already: it is opened where it lies, without a shuffle and
+    without being counted to the end.
     """
     require(schedule, key)
     spark = schedule.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    n_games = schedule.count()
-    per_block, chunks = _layout(n_sims, n_games, width)
-    tasks = min(-(-n_sims // per_block) * chunks, 4 * width)
-
     def long(n: int):
         return F.lit(n).cast("long")
 
+    n_games = schedule.limit(SHORT_SCHEDULE + 1).count()
+    if n_games > SHORT_SCHEDULE:
+        return schedule.select(F.explode(F.sequence(long(1), long(n_sims))).alias("sim"), "*")
+    per_block, chunks = _layout(n_sims, n_games, width)
+    tasks = -(-n_sims // per_block) * chunks
+
     first = F.explode(F.sequence(long(1), long(n_sims), long(per_block)))
     spread = schedule.select(first.alias("__first"), "*").withColumn(
         "__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
@@ -85,19 +91,25 @@ def attach_strengths(games: DataFrame, strengths: DataFrame) -> DataFrame:
     return games
 
 
+def _period(rows: DataFrame) -> list[str]:
+    """The season as the first part of a draw's key, where the rows have one."""
+    return ["season"] if "season" in rows.columns else []
+
+
 def draw_strengths(teams: DataFrame, seed: int, keys: Sequence[str] = ("sim", "week", "team"), name: str = "pre_game_strength") -> DataFrame:
-    """One Beta draw per row of a (sim, week, team) table with alpha and beta."""
+    """One Beta draw per row of a (sim, week, team) table with alpha and beta, and per season if it has one."""
+    keys = [*_period(teams), *keys]
     require(teams, "alpha", "beta", *keys)
     return teams.withColumn(name, draw_beta("alpha", "beta", *keys, seed=seed))
 
 
 def draw_game_strengths(games: DataFrame, seed: int) -> DataFrame:
-    """Both sides' draws on the game row itself: the draw is a function of (sim, week, team),
+    """Both sides' draws on the game row itself: the draw is a function of (season, sim, week, team),
     so no table of draws has to be joined."""
     require(games, "sim", "week", "alpha_away", "beta_away", "alpha_home", "beta_home")
     return games.withColumns(
         {
-            f"pre_game_strength_{s}": draw_beta(f"alpha_{s}", f"beta_{s}", "sim", "week", f"{s}_team", seed=seed)
+            f"pre_game_strength_{s}": draw_beta(f"alpha_{s}", f"beta_{s}", *_period(games), "sim", "week", f"{s}_team", seed=seed)
             for s in ("away", "home")
         }
     ).drop("alpha_away", "beta_away", "alpha_home", "beta_home")
@@ -194,7 +206,10 @@ def predict_week(
     require(teams, "sim", "team")
     require(strengths, "team", "alpha", "beta")
     params = inner_join_on(teams.select("sim", "team"), strengths.select("team", "alpha", "beta"), ["team"])
-    ratings = draw_strengths(params.withColumn("week", F.lit(week)), seed).select("sim", "team", "pre_game_strength")
+    if "season" in games.columns:
+        params = params.join(games.select("sim", "season").distinct(), "sim")
+    drawn = draw_strengths(params.withColumn("week", F.lit(week)), seed)
+    ratings = drawn.select(*_period(params), "sim", "team", "pre_game_strength")
     rows = _with_margin(scenario_inner_join(games, ratings), model, sigma, seed, key)
     return teams, fill_results(rows, week).select(*games.columns)
 

@@ -32,9 +32,10 @@ def group_split(df: DataFrame, group: str, seed: int, share: float = TRAIN_SHARE
 
 
 def kfold(df: DataFrame, key: Sequence[str], seed: int, folds: int = FOLDS) -> DataFrame:
-    """Add ``fold``, 1 to ``folds``. No shuffle."""
+    """Add ``fold``, 1 to ``folds``, from another word of the digest than splits are, so that folds
+    do not depend on a split by the same key and seed. No shuffle."""
     require(df, *key)
-    return df.withColumn("fold", (unit_hash(*key, seed=seed) % folds + 1).cast("int"))
+    return df.withColumn("fold", (unit_hash(*key, seed=seed, word=1) % folds + 1).cast("int"))
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int = 4, name: str = "stratum") -> DataFrame:

@@ -56,7 +56,7 @@ def with_outcome(long: DataFrame, unplayed_win: float) -> DataFrame:
     )
 
 
-def running_team_stats(long: DataFrame, unplayed_win: float = 0.5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_team_stats(long: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Running and whole-season statistics of every team in every season.
 
     ``cumulative_*_sd`` is |running sum of (value - running mean)| / sqrt(week), with the
@@ -105,7 +105,7 @@ def team_game_history(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     long = team_games(games, before_season, codes)
-    stats = running_team_stats(with_outcome(long, unplayed_win), unplayed_win, hot_rows)
+    stats = running_team_stats(with_outcome(long, unplayed_win), hot_rows)
     return with_league_stats(stats, long, across_seasons)
 
 

@@ -122,8 +122,8 @@ def strength_training_rows(
 def strength_basis(
     inputs: DataFrame, n_knots: int = 4, factors: Sequence[str] = STRENGTH_FACTORS, max_levels: int = 25
 ) -> list[Basis]:
-    """All terms of the in-season model. A factor with more than ``max_levels`` values is left
-    to its smooth, which every factor but the week has."""
+    """All terms of the in-season model: smooths, tensors, and one column per level of each factor.
+    A factor with more than ``max_levels`` values raises an error; ``factors`` names others."""
     smooths = find_smooths(inputs, list(STRENGTH_SMOOTHS), n_knots)
     out: list[Basis] = []
     for name in STRENGTH_SMOOTHS:
@@ -131,29 +131,32 @@ def strength_basis(
     for a, b in STRENGTH_TENSORS:
         out += tensor_interaction(smooths[a], smooths[b])
     for name in factors:
-        try:
-            out += factor_basis(name, find_levels(inputs, name, max_levels))
-        except ValueError:
-            if name not in STRENGTH_SMOOTHS:
-                raise
+        out += factor_basis(name, find_levels(inputs, name, max_levels))
     return out
 
 
-def strength_model(inputs: DataFrame, smoothing: float = 1.0, n_knots: int = 4) -> SmoothModel:
+def strength_model(
+    inputs: DataFrame, smoothing: float = 1.0, n_knots: int = 4, factors: Sequence[str] = STRENGTH_FACTORS
+) -> SmoothModel:
     """The in-season model on all given rows. Only the columns of the model are kept while it is fitted."""
-    used = dict.fromkeys(["final_wp", *STRENGTH_SMOOTHS, *STRENGTH_FACTORS])
+    used = dict.fromkeys(["final_wp", *STRENGTH_SMOOTHS, *factors])
     require(inputs, *used)
     with held(inputs.select(*used)) as rows:
-        return quasibinomial_smooth_fit(rows, "final_wp", strength_basis(rows, n_knots), smoothing, select=0.1)
+        return quasibinomial_smooth_fit(rows, "final_wp", strength_basis(rows, n_knots, factors), smoothing, select=0.1)
 
 
 def fit_strength_model(
-    inputs: DataFrame, seed: int = 12, n_knots: int = 4, smoothing: float = 1.0, **rows_kept
+    inputs: DataFrame,
+    seed: int = 12,
+    n_knots: int = 4,
+    smoothing: float = 1.0,
+    factors: Sequence[str] = STRENGTH_FACTORS,
+    **rows_kept,
 ) -> tuple[SmoothModel, DataFrame]:
     """Group split on the team-season id, then one quasi-binomial fit on the training side."""
     require(inputs, "id")
     rows = group_split(strength_training_rows(inputs, **rows_kept), "id", seed)
-    return strength_model(rows.where(F.col("split") == "train"), smoothing, n_knots), rows
+    return strength_model(rows.where(F.col("split") == "train"), smoothing, n_knots, factors), rows
 
 
 def expected_wins(scored: DataFrame, share: str = "pred", lengths: DataFrame | None = None) -> DataFrame:
@@ -200,7 +203,7 @@ def current_state(
     games = games.where(F.col("week") <= week)
     long = team_games(games, codes=codes or {})
     stats = with_league_stats(
-        running_team_stats(with_outcome(long, 0.0), 0.0, hot_rows), long, across_seasons=False
+        running_team_stats(with_outcome(long, 0.0), hot_rows), long, across_seasons=False
     )
     keys = ["season", "team"]
     latest = filter_started(long).groupBy(*keys).agg(F.max("week").alias("week"))

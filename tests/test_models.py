@@ -169,6 +169,57 @@ def test_too_wide_a_model_is_refused(rows):
         M.smooth_fit(rows, "share", [X.Basis(f"c{i}", (X.Part("a"),)) for i in range(M.MAX_COLUMNS)])
 
 
+def test_wide_linear_models_are_refused_and_never_read_in_part(spark, rows, monkeypatch):
+    with pytest.raises(ValueError, match="at most"):
+        M.linear_fit(rows.withColumns({f"c{i}": F.col("a") for i in range(450)}), "margin", [f"c{i}" for i in range(450)])
+    wide = M.LinearModel("margin", tuple(f"c{i}" for i in range(450)), 0.0, (1.0,) * 450, 1.0, 9)
+    with pytest.raises(ValueError, match="stored model"):
+        M.LinearModel.from_frame(wide.to_frame(spark))
+    most = M.LinearModel("margin", tuple(f"c{i}" for i in range(400)), 0.0, (1.0,) * 400, 1.0, 9)
+    assert M.LinearModel.from_frame(most.to_frame(spark)) == most
+
+
+def test_grid_search_takes_every_fold(rows):
+    folded = kfold(rows, ["id"], 3, 20)
+    line = [X.Basis("a", (X.Part("a"),), "a")]
+    table = M.grid_search(folded, "share", line, grid=[1.0]).collect()
+    assert [r["folds"] for r in table] == [20]
+    shifted = M.grid_search(folded.withColumn("fold", F.col("fold") * 3 - 100), "share", line, grid=[1.0]).collect()
+    assert table == shifted
+    with pytest.raises(ValueError, match="other than"):
+        M.grid_search(folded, "share", line, folds=10, grid=[1.0])
+    with pytest.raises(ValueError, match="none missing"):
+        M.grid_search(folded.withColumn("fold", F.when(F.col("fold") > 1, F.col("fold"))), "share", line, grid=[1.0])
+
+
+def test_a_fit_that_does_not_settle_is_told(spark, rows):
+    line = [X.Basis("a", (X.Part("a"),))]
+    apart = spark.createDataFrame([(float(i), float(i > 0)) for i in range(-20, 21)], "a double, share double")
+    with pytest.raises(M.NotConverged):
+        M.smooth_fit(apart, "share", line, max_steps=8)
+    open_ = M.smooth_fit(rows, "share", line, max_steps=1, must_converge=False)
+    assert not open_.converged and not M.SmoothModel.from_frame(open_.to_frame(spark)).converged
+    assert M.smooth_fit(rows, "share", line).converged
+
+
+def test_folds_do_not_depend_on_the_split(spark):
+    from gridtally.operators.splits import random_split
+
+    both = kfold(random_split(spark.range(40_000), ["id"], 13), ["id"], 13).where("split = 'train'")
+    counts = [r["count"] for r in both.groupBy("fold").count().collect()]
+    assert len(counts) == 10 and max(counts) - min(counts) < 6 * 3_000**0.5
+
+
+def test_strength_factors_are_all_there_or_an_error(spark):
+    columns = [*T.STRENGTH_SMOOTHS, "week"]
+    values = [(unit_hash("id", seed=k) % 1000 / 10).alias(c) for k, c in enumerate(columns) if c not in ("week", "game_num")]
+    df = spark.range(800).select("id", *values, (F.col("id") % 17).alias("week"), (F.col("id") % 23).alias("game_num"))
+    names = [b.name for b in T.strength_basis(df, 2)]
+    assert sum(n.startswith("game_num[") for n in names) == 23 - (sum(n.startswith("week[") for n in names) == 16)
+    with pytest.raises(ValueError):
+        T.strength_basis(df.withColumn("game_num", F.col("id") % 40), 2)
+
+
 def test_whole_training_and_scoring_path(spark, data):
     games = fx.games(spark, data)
     final = H.season_final_table(games, codes={})
@@ -178,8 +229,9 @@ def test_whole_training_and_scoring_path(spark, data):
     assert {r[0] for r in split.select("split").distinct().collect()} == {"train", "test"}
     history = H.team_game_history(games, codes={}).persist()
     second, rows = T.fit_strength_model(
-        T.strength_inputs(history, inputs, first), n_knots=2, first_season=1996, new_team="NATION_3", new_team_last_season=1997
-    )
+        T.strength_inputs(history, inputs, first), n_knots=2, factors=["week"],
+        first_season=1996, new_team="NATION_3", new_team_last_season=1997,
+    )
     assert rows.where("season < 1996 or (team = 'NATION_3' and season <= 1997)").count() == 0
     assert rows.groupBy("id").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     assert second.dispersion > 0

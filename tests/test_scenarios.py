@@ -53,6 +53,25 @@ def test_layout_keeps_tasks_busy_and_pieces_small(n_sims, n_games, tasks):
     assert blocks * chunks >= min(tasks, max(1, n_sims // 10) * max(1, n_games // N.SMALLEST_CHUNK))
 
 
+def test_long_schedule_is_opened_where_it_lies(spark, schedule, monkeypatch):
+    short = N.scenario_expand(schedule, 7)
+    assert "Exchange" in short._jdf.queryExecution().toString()
+    monkeypatch.setattr(N, "SHORT_SCHEDULE", 2)
+    long = N.scenario_expand(schedule.select("*"), 7)
+    assert "Exchange" not in long._jdf.queryExecution().toString()
+    assert sorted(map(tuple, long.collect()), key=str) == sorted(map(tuple, short.collect()), key=str)
+
+
+def test_draws_differ_by_season_and_not_by_integer_type(spark, strengths):
+    teams = strengths.crossJoin(spark.range(1, 40).withColumnRenamed("id", "sim")).withColumn("week", F.lit(3))
+    both = teams.crossJoin(spark.createDataFrame([(2000,), (2001,)], "season int"))
+    per = N.draw_strengths(both, 1).groupBy("sim", "team").agg(F.countDistinct("pre_game_strength").alias("n"))
+    assert per.where("n <> 2").count() == 0
+    one = N.draw_strengths(teams, 1).select("sim", "team", "pre_game_strength")
+    two = N.draw_strengths(teams.withColumns({"sim": F.col("sim").cast("int"), "week": F.lit(3).cast("long")}), 1)
+    assert one.exceptAll(two.select(*one.columns)).count() == 0
+
+
 def test_beta_draws_have_the_right_moments_and_do_not_depend_on_layout(spark):
     for a, b in ((4.0, 6.0), (0.5, 0.5), (0.3, 2.0), (60.0, 40.0)):
         df = spark.range(20_000).withColumns({"a": F.lit(a), "b": F.lit(b)})
