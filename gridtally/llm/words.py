@@ -27,6 +27,9 @@ SPACED[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
+#: Bytes of text whose words are hashed at a time; a longer word is hashed whole.
+HASH_BYTES = 1 << 17
+
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -95,11 +98,21 @@ def words(column: pa.Array, kind: np.ndarray = SPACED) -> Words:
     after[-1], after[:-1] = False, inside[1:]
     after[at[1:][at[1:] > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    h = np.empty(len(start), U64)
+    for lo, hi in zip(*_runs(start // HASH_BYTES) if len(start) else ([], [])):
+        h[lo:hi] = _hashes(low, start[lo:hi], end[lo:hi])
+    return Words(np.searchsorted(start, at), start, end, h)
+
+
+def _hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words that stand close together, from the prefix sums of their stretch."""
+    first = start[0]
+    n = int(end[-1] - first)
     power, inverse = _grow(n + 1)
     sums = np.empty(n + 1, U64)
     sums[0] = 0
-    np.cumsum((low.astype(U64) + U64(1)) * power[:n], out=sums[1:])
-    return Words(np.searchsorted(start, at), start, end, mix((sums[end] - sums[start]) * inverse[start]))
+    np.cumsum((low[first : end[-1]].astype(U64) + U64(1)) * power[:n], out=sums[1:])
+    return mix((sums[end - first] - sums[start - first]) * inverse[start - first])
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
