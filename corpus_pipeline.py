@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridtally.llm import bpe, decontaminate, near_copies, severity, surrogates
 from gridtally.llm.queries import SURROGATE_KEY, graded_labels, table
+from gridtally.llm.words import bounded_batches
 from gridtally.sources.shared import settle
 
 
@@ -26,6 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group on five-word shingles at a similarity of 0.8.
     Null and empty texts stay; a document with a null id is not told apart and stays."""
+    bounded_batches(spark)
     return near_copies.drop_near_copies(docs)
 
 
@@ -45,6 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents in place of their text. A null text has none."""
+    bounded_batches(spark)
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.drop("text").withColumn("n_tokens", F.size("ids").cast("bigint"))
 

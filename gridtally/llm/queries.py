@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, knn, licenses, near_copies, passages, pseudo_likelihood, secrets, severity, surrogates
 from .license_texts import KNOWN, SPELLINGS
+from .words import bounded_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +22,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -30,6 +30,9 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 #: Bytes of text whose words are hashed at a time; a longer word is hashed whole.
 HASH_BYTES = 1 << 17
 
+#: Bytes of an Arrow batch between Spark and its Python workers, where the session does not say.
+BATCH_BYTES = 4 << 20
+
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -197,6 +200,14 @@ def put_back(rows, names: dict[str, str]):
     return rows.select(*names).toDF(*names.values())
 
 
+def bounded_batches(spark) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own. Texts make
+    batches of ten thousand rows large, in the executor and again in each of its Python workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def row_schema(df, *extra: str) -> str:
     """The columns of a frame and further ones, as text for ``mapInArrow``."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *extra])
