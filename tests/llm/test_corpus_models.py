@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridtally.llm import knn, pseudo_likelihood, severity, surrogates
 from gridtally.llm.words import words
-from helpers import groups_by_brute_force, no_documents, odd_documents, plain_words, shingle_set
+from corpus_helpers import groups_by_brute_force, no_documents, odd_documents, plain_words, shingle_set
 
 # -------------------------------------------------------------------- severity
 

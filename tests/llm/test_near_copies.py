@@ -7,7 +7,7 @@ import numpy as np
 import __spark_entry__ as entry
 from gridtally.llm import near_copies as N
 from gridtally.llm.linked import components
-from helpers import groups_by_brute_force, no_documents, odd_documents, shingle_set
+from corpus_helpers import groups_by_brute_force, no_documents, odd_documents, shingle_set
 
 
 def check(spark, rows, shingle, percent):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridtally.llm import bpe, decontaminate, licenses, passages, secrets
 from gridtally.llm.license_texts import KNOWN
-from helpers import no_documents, odd_documents, plain_words
+from corpus_helpers import no_documents, odd_documents, plain_words
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN

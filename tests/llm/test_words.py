@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridtally.llm.words import ALNUM, SPACED, distinct, groups, pieces, shingles, words
-from helpers import plain_words, shingle_set, spaced_words
+from corpus_helpers import plain_words, shingle_set, spaced_words
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="aAb é\t\n\x0b-0😀", max_size=30)), max_size=6)
 
