@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, knn, licenses, near_copies, passages, pseudo_likelihood, secrets, severity, surrogates
+from . import (
+    bpe,
+    decontaminate,
+    knn,
+    lempel_ziv,
+    licenses,
+    near_copies,
+    passages,
+    phrases,
+    pseudo_likelihood,
+    secrets,
+    severity,
+    surrogates,
+    whitening,
+)
 from .license_texts import KNOWN, SPELLINGS
 from .words import bounded_batches
 
@@ -176,3 +190,49 @@ def op10_secret_ownership(spark, sf_dir):
         F.size(F.filter("secrets", lambda s: s["example"])).alias("n_examples"),
         F.size(F.filter("secrets", lambda s: ~s["example"])).alias("n_live"),
     )
+
+
+@query
+def op11_grouped_subtree_phrases(spark, sf_dir):
+    return phrases.phrases(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLE["op11_grouped_subtree_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+lines AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+windows AS (
+  SELECT lang, unnest(list_transform(generate_series(1, len(words) - m + 1), lambda i: words[i : i + m - 1])) AS path
+  FROM lines CROSS JOIN (VALUES (1), (2), (3)) v(m)),
+counts AS (SELECT lang, path, count(*) AS f FROM windows GROUP BY lang, path),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(path) = 1 GROUP BY lang),
+candidates AS (SELECT lang, path, f AS a FROM counts WHERE len(path) > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.path, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, len(path) - 1)) AS k FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.path = c.path[1:k]
+  JOIN counts r ON r.lang = c.lang AND r.path = c.path[k + 1:]),
+scored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, path ORDER BY score, k) AS nth FROM cuts) WHERE nth = 1),
+inside AS (
+  SELECT lang, path[i : i + 1] AS path, max(a) AS longer
+  FROM (SELECT *, unnest([1, 2]) AS i FROM candidates WHERE len(path) = 3) GROUP BY 1, 2),
+ranked AS (
+  SELECT s.lang, array_to_string(s.path, ' ') AS phrase, a, l, r, score,
+         row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.path, ' ')) AS rank
+  FROM scored s LEFT JOIN inside i ON s.lang = i.lang AND s.path = i.path
+  WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_incremental_whitening(spark, sf_dir):
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@query
+def op13_phrase_fingerprints(spark, sf_dir):
+    return lempel_ziv.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
