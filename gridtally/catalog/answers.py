@@ -272,7 +272,7 @@ def team_season_projection(spark, d):
 @query(
     "o11_standings_report",
     sql(
-        "SELECT conf, substr(division, 5) AS division, team, format('{:.1f}', wins) AS wins, "
+        "SELECT season, conf, substr(division, 5) AS division, team, format('{:.1f}', wins) AS wins, "
         + ", ".join(f"format('{{:.0f}}', {f} * 100) || '%' AS {f}" for f in scenarios.FLAGS)
         + " FROM overall",
         "overall",

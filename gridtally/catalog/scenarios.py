@@ -52,7 +52,8 @@ def totals(spark, d):
 def flagged(spark, d):
     """Team totals with stand-in flags: first in division, conference and league, ties shared."""
     rows = R.inner_join_on(totals(spark, d), fx.divisions(spark, d), ["team"])
-    for flag, keys in (("div1", ["sim", "conf", "division"]), ("seed1", ["sim", "conf"]), ("won_sb", ["sim"])):
+    for flag, within in (("div1", ["conf", "division"]), ("seed1", ["conf"]), ("won_sb", [])):
+        keys = ["season", "sim", *within]
         rows = attach(rows, rows.groupBy(*keys).agg(F.max("wins").alias("__top")), keys)
         rows = rows.withColumn(flag, (F.col("wins") == F.col("__top")).cast("int")).drop("__top")
     return rows.withColumns({"playoff": F.col("div1"), "won_conf": F.col("seed1")})
@@ -71,7 +72,67 @@ def _scenario_teams(spark, d):
     return R.inner_join_on(rows, fx.strengths(spark, d), ["team"])
 
 
-@query("n2_draw_beta")
+_WORD = 1 << 64
+
+
+def _spread_bits(x: int) -> int:
+    """The generator's step on a whole number."""
+    x = (x + 0x9E3779B97F4A7C15) % _WORD
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % _WORD
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % _WORD
+    return x ^ x >> 31
+
+
+def beta_draw_views(source: str, turns: int = 16) -> dict[str, str]:
+    """Views ending in ``beta_drawn`` (draw_key, alpha, beta, draw): the Beta draws for a source of
+    those three columns with parameters of 1 and more. The turns of the rejection are unrolled; that
+    none of so many is accepted has a chance below 1e-20."""
+    wide = lambda x: f"CAST('{x}' AS UHUGEINT)"
+    low = lambda x: f"CAST(({x}) % {wide(_WORD)} AS UBIGINT)"
+    streams = ", ".join(
+        f"({lane}, {turn}, {word}, CAST('{_spread_bits(lane + 8 * turn + word)}' AS UBIGINT))"
+        for lane in (0, 4)
+        for turn in range(turns)
+        for word in range(3)
+    )
+    return {
+        "beta_parameters": f"SELECT DISTINCT draw_key, alpha, beta FROM {source}",
+        "beta_bits_0": f"""
+            SELECT draw_key, alpha, beta, lane, turn, word, {low(f"CAST(xor(CAST(draw_key AS UBIGINT), stream) AS UHUGEINT) + {wide(0x9E3779B97F4A7C15)}")} AS x
+            FROM beta_parameters CROSS JOIN (VALUES {streams}) s(lane, turn, word, stream)""",
+        "beta_bits_1": f"SELECT * REPLACE ({low(f'CAST(xor(x, x >> 30) AS UHUGEINT) * {wide(0xBF58476D1CE4E5B9)}')} AS x) FROM beta_bits_0",
+        "beta_bits_2": f"SELECT * REPLACE ({low(f'CAST(xor(x, x >> 27) AS UHUGEINT) * {wide(0x94D049BB133111EB)}')} AS x) FROM beta_bits_1",
+        "beta_uniform": """
+            SELECT draw_key, alpha, beta, lane, turn, max(u) FILTER (word = 0) AS u0, max(u) FILTER (word = 1) AS u1, max(u) FILTER (word = 2) AS u2
+            FROM (SELECT *, (CAST(xor(x, x >> 31) >> 11 AS DOUBLE) + 0.5) / 9007199254740992.0 AS u FROM beta_bits_2)
+            GROUP BY draw_key, alpha, beta, lane, turn""",
+        "beta_tried": """
+            SELECT *, pow(1.0 + x / sqrt(9.0 * d), 3) AS v
+            FROM (SELECT *, CASE WHEN lane = 0 THEN alpha ELSE beta END - 1.0 / 3.0 AS d, sqrt(-2.0 * ln(u0)) * cos(2.0 * pi() * u1) AS x FROM beta_uniform)""",
+        "beta_gamma": """
+            SELECT draw_key, alpha, beta, lane, arg_min(d * v, turn) FILTER (CASE WHEN v > 0 THEN ln(u2) < 0.5 * x * x + d * (1.0 - v + ln(v)) END) AS g
+            FROM beta_tried GROUP BY draw_key, alpha, beta, lane""",
+        "beta_drawn": """
+            SELECT a.draw_key, a.alpha, a.beta, a.g / (a.g + b.g) AS draw
+            FROM beta_gamma a JOIN beta_gamma b ON a.draw_key = b.draw_key AND a.alpha = b.alpha AND a.beta = b.beta AND a.lane = 0 AND b.lane = 4""",
+    }
+
+
+_TEAM_KEYS = """
+SELECT *, CAST('0x' || substr(md5('7|' || sim || '|' || week || '|' || team), 1, 15) AS BIGINT) AS draw_key
+FROM (SELECT DISTINCT sim, week, team, alpha, beta FROM scenario JOIN strengths ON team IN (home_team, away_team))"""
+
+
+@query(
+    "n2_draw_beta",
+    sql(
+        f"SELECT sim::INTEGER AS sim, week, team, {rd('draw AS pre_game_strength')} FROM team_keys JOIN beta_drawn USING (draw_key, alpha, beta)",
+        "scenario",
+        "strengths",
+        team_keys=_TEAM_KEYS,
+        **beta_draw_views("team_keys"),
+    ),
+)
 def draw_beta(spark, d):
     rows = N.draw_strengths(_scenario_teams(spark, d), SEED)
     return rows.select("sim", "week", "team", F.round("pre_game_strength", 6).alias("pre_game_strength"))
@@ -141,7 +202,32 @@ def fill_results_week(spark, d):
     return N.fill_results(drawn(spark, d), 12).select("sim", "game_id", "week", "result")
 
 
-@query("n5_simulate_results")
+def _side_key(side: str) -> str:
+    return f"CAST('0x' || substr(md5('7|' || season || '|' || sim || '|' || week || '|' || {side}_team), 1, 15) AS BIGINT)"
+
+
+_KEYED = f"""
+SELECT s.*, a.alpha AS alpha_away, a.beta AS beta_away, h.alpha AS alpha_home, h.beta AS beta_home,
+       {_side_key('away')} AS key_away, {_side_key('home')} AS key_home,
+       CAST('0x' || substr(md5('7|' || sim || '|' || game_id), 1, 15) AS BIGINT) AS draw_key
+FROM scenario s JOIN strengths a ON s.away_team = a.team JOIN strengths h ON s.home_team = h.team"""
+_SIDE_KEYS = """
+SELECT key_away AS draw_key, alpha_away AS alpha, beta_away AS beta FROM keyed WHERE result IS NULL
+UNION SELECT key_home, alpha_home, beta_home FROM keyed WHERE result IS NULL"""
+_SIMULATED = """
+SELECT sim, game_id, week, CASE WHEN result IS NULL THEN CAST(sign(margin) * ceil(abs(margin)) AS INTEGER) ELSE result END AS result
+FROM (SELECT k.*, 0.25 + h.draw * 1.5 + (h.draw - a.draw) * 30.0 + CASE WHEN week = 1 THEN 0.0 ELSE 0.5 END
+             + 12.5 * (sqrt(ln(((k.draw_key >> 30) + 0.5) / 1073741824.0) * -2.0)
+                       * cos(((k.draw_key & 1073741823) + 0.5) / 1073741824.0 * (2.0 * pi()))) AS margin
+      FROM keyed k
+      LEFT JOIN beta_drawn a ON k.key_away = a.draw_key AND alpha_away = a.alpha AND beta_away = a.beta
+      LEFT JOIN beta_drawn h ON k.key_home = h.draw_key AND alpha_home = h.alpha AND beta_home = h.beta)"""
+
+
+@query(
+    "n5_simulate_results",
+    sql(_SIMULATED, "scenario", "strengths", keyed=_KEYED, side_keys=_SIDE_KEYS, **beta_draw_views("side_keys")),
+)
 def simulate_results(spark, d):
     """The whole step with drawn strengths."""
     rows = N.simulate_results(scenario(spark, d), fx.strengths(spark, d), MARGIN, SIGMA, SEED)
@@ -203,11 +289,12 @@ def histogram_unit(spark, d):
 @query(
     "g7_scenario_cdf",
     sql(
-        f"""SELECT g.team, CAST(g.place * 0.5 AS DOUBLE) AS wins, {rd('count(t.wins) FILTER (t.wins < g.place * 0.5) / 20.0::DOUBLE AS under_prob', 'count(t.wins) FILTER (t.wins > g.place * 0.5) / 20.0::DOUBLE AS over_prob')}
-            FROM (SELECT team, place FROM strengths CROSS JOIN range(0, (SELECT 2 * max(n) + 1 FROM (SELECT count(*) AS n FROM long GROUP BY team))) r(place)) g
-            JOIN totals t ON g.team = t.team GROUP BY g.team, g.place""",
+        f"""SELECT g.season, g.team, CAST(g.place * 0.5 AS DOUBLE) AS wins, {rd('count(t.wins) FILTER (t.wins < g.place * 0.5) / count(*)::DOUBLE AS under_prob', 'count(t.wins) FILTER (t.wins > g.place * 0.5) / count(*)::DOUBLE AS over_prob')}
+            FROM (SELECT season, team, unnest(range(0, 2 * top + 1)) AS place
+                  FROM (SELECT DISTINCT season, team FROM totals)
+                  JOIN (SELECT season, max(n) AS top FROM (SELECT season, team, count(*) AS n FROM long GROUP BY season, team) GROUP BY season) USING (season)) g
+            JOIN totals t ON g.season = t.season AND g.team = t.team GROUP BY g.season, g.team, g.place""",
         "totals",
-        "strengths",
         "long",
     ),
 )
@@ -215,12 +302,12 @@ def scenario_cdf(spark, d):
     return rounded(A.scenario_cdf(totals(spark, d), A.most_games(fx.games(spark, d))))
 
 
-@query("g8_scenario_overall", sql(f"SELECT conf, division, team, {rd('wins', *FLAGS)} FROM overall", "overall"))
+@query("g8_scenario_overall", sql(f"SELECT season, conf, division, team, {rd('wins', *FLAGS)} FROM overall", "overall"))
 def scenario_overall(spark, d):
     return rounded(A.scenario_overall(flagged(spark, d)))
 
 
-@query("g9_scenario_team_totals", sql("SELECT sim, team, wins, decided FROM totals", "totals"))
+@query("g9_scenario_team_totals", sql("SELECT season, sim, team, wins, decided FROM totals", "totals"))
 def scenario_team_totals(spark, d):
     return totals(spark, d)
 

@@ -159,10 +159,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         ["matchups"],
         """
     SELECT *, pred + 12.5 * (sqrt(ln(u1) * -2.0) * cos(u2 * (2.0 * pi()))) AS outcome_gen
-    FROM (SELECT *, (CAST('0x' || substr(digest, 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u1,
-                 (CAST('0x' || substr(digest, 9, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u2,
+    FROM (SELECT *, ((draw_key >> 30) + 0.5) / 1073741824.0 AS u1, ((draw_key & 1073741823) + 0.5) / 1073741824.0 AS u2,
                  0.25 + pre_game_strength_home * 1.5 + strength_diff * 30.0 + is_after_week_1 * 0.5 AS pred
-          FROM (SELECT *, md5('7|' || sim || '|' || game_id) AS digest FROM matchups))""",
+          FROM (SELECT *, CAST('0x' || substr(md5('7|' || sim || '|' || game_id), 1, 15) AS BIGINT) AS draw_key FROM matchups))""",
     ),
     "filled": (
         ["drawn"],
@@ -190,22 +189,22 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "totals": (
         ["sides"],
         """
-    SELECT sim, team, coalesce(sum(win), 0.0) AS wins, count(win) AS decided FROM sides GROUP BY sim, team""",
+    SELECT season, sim, team, coalesce(sum(win), 0.0) AS wins, count(win) AS decided FROM sides GROUP BY season, sim, team""",
     ),
     "flagged": (
         ["totals", "divisions"],
         """
-    SELECT sim, conf, division, team, wins, CAST(wins = max(wins) OVER (PARTITION BY sim, conf, division) AS INTEGER) AS div1,
-           CAST(wins = max(wins) OVER (PARTITION BY sim, conf) AS INTEGER) AS seed1,
-           CAST(wins = max(wins) OVER (PARTITION BY sim) AS INTEGER) AS won_sb, div1 AS playoff, seed1 AS won_conf
+    SELECT season, sim, conf, division, team, wins, CAST(wins = max(wins) OVER (PARTITION BY season, sim, conf, division) AS INTEGER) AS div1,
+           CAST(wins = max(wins) OVER (PARTITION BY season, sim, conf) AS INTEGER) AS seed1,
+           CAST(wins = max(wins) OVER (PARTITION BY season, sim) AS INTEGER) AS won_sb, div1 AS playoff, seed1 AS won_conf
     FROM totals JOIN divisions USING (team)""",
     ),
     "overall": (
         ["flagged"],
         """
-    SELECT conf, division, team, avg(wins) AS wins, avg(playoff) AS playoff, avg(div1) AS div1, avg(seed1) AS seed1,
+    SELECT season, conf, division, team, avg(wins) AS wins, avg(playoff) AS playoff, avg(div1) AS div1, avg(seed1) AS seed1,
            avg(won_conf) AS won_conf, avg(won_sb) AS won_sb
-    FROM flagged GROUP BY conf, division, team""",
+    FROM flagged GROUP BY season, conf, division, team""",
     ),
     "matchup_summary": (
         ["filled"],

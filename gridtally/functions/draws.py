@@ -20,10 +20,22 @@ def uniform_draw(*keys: Column | str, seed: int, word: int = 0) -> Column:
     return (unit_hash(*keys, seed=seed, word=word).cast("double") + 0.5) / float(2**32)
 
 
-def draw_normal(mean: Column | str, sd: Column | str | float, *keys: Column | str, seed: int) -> Column:
-    """Normal draw by Box-Muller from two words of one digest."""
-    radius = F.sqrt(F.log(uniform_draw(*keys, seed=seed, word=0)) * -2.0)
-    angle = F.cos(uniform_draw(*keys, seed=seed, word=1) * (2.0 * math.pi))
+def draw_key(*keys: Column | str, seed: int, only: Column | None = None) -> Column:
+    """60 bits of the md5 of the keys as text, whatever whole-number type they have: one digest a
+    row, of which draws take their words by shifts. NULL for rows that are not in ``only``."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
+    key = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return key if only is None else F.when(only, key)
+
+
+def draw_normal(
+    mean: Column | str, sd: Column | str | float, *keys: Column | str, seed: int, only: Column | None = None
+) -> Column:
+    """Normal draw by Box-Muller from the two halves of the row's key; NULL without a key."""
+    key = draw_key(*keys, seed=seed, only=only)
+    first, second = F.shiftright(key, 30), key.bitwiseAND(F.lit((1 << 30) - 1))
+    radius = F.sqrt(F.log((first.cast("double") + 0.5) / float(1 << 30)) * -2.0)
+    angle = F.cos((second.cast("double") + 0.5) / float(1 << 30) * (2.0 * math.pi))
     sd = F.lit(float(sd)) if isinstance(sd, (int, float)) else col(sd)
     return col(mean) + sd * radius * angle
 
@@ -70,13 +82,14 @@ def _beta_sampler():
 
         a = alpha.to_numpy(zero_copy_only=False)
         b = beta.to_numpy(zero_copy_only=False)
-        if len(a) == alpha.null_count:
+        keyed = key.is_valid().to_numpy(zero_copy_only=False)
+        if not keyed.any() or len(a) == alpha.null_count:
             return pyarrow.nulls(len(a), pyarrow.float64())
-        good = (a > 0.0) & (b > 0.0) & np.isfinite(a) & np.isfinite(b)
+        good = keyed & (a > 0.0) & (b > 0.0) & np.isfinite(a) & np.isfinite(b)
         result = np.zeros(a.shape)
         if good.any():
             with np.errstate(over="ignore"):
-                k = key.to_numpy(zero_copy_only=False)[good].astype(np.uint64)
+                k = key.fill_null(0).to_numpy(zero_copy_only=False)[good].astype(np.uint64)
                 x = gamma(k, a[good], 0)
                 y = gamma(k, b[good], 4)
             result[good] = x / (x + y)
@@ -85,14 +98,14 @@ def _beta_sampler():
     return sample
 
 
-def draw_beta(alpha: Column | str, beta: Column | str, *keys: Column | str, seed: int) -> Column:
-    """Beta draw per row, keyed by (seed, keys); NULL when alpha or beta is missing or not positive.
+def draw_beta(
+    alpha: Column | str, beta: Column | str, *keys: Column | str, seed: int, only: Column | None = None
+) -> Column:
+    """Beta draw per row, keyed by (seed, keys); NULL when alpha or beta is missing or not positive,
+    and for rows that are not in ``only``.
 
-    The key is 64 bits of the md5 of the keys as text, whatever whole-number type they have; the
-    rejection step has no closed form, so it runs on Arrow batches with a counter-based generator
-    per row.
+    The rejection step has no closed form, so it runs on Arrow batches with a counter-based
+    generator per row.
     """
     udf = F.arrow_udf(_beta_sampler(), "double")
-    parts = [unit_hash(*keys, seed=seed, word=w) for w in (0, 1)]
-    key = F.shiftleft(parts[0], 32).bitwiseOR(parts[1])
-    return udf(key, col(alpha).cast("double"), col(beta).cast("double"))
+    return udf(draw_key(*keys, seed=seed, only=only), col(alpha).cast("double"), col(beta).cast("double"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strict import strict_mean, strict_sd, strict_share
+from ..sources.shared import settle
 from .columns import require
-from .ordered import attach
+from .ordered import HOT_ROWS, attach, group_sum, ordered, running_sum
 
 
 def week_mean_sd(df: DataFrame, keys: Sequence[str] = ("season", "week"), value: str = "score") -> DataFrame:
@@ -82,41 +83,62 @@ def histogram_unit(
     )
 
 
+def _period(rows: DataFrame) -> list[str]:
+    """The season as the first part of a key, where the rows have one."""
+    return ["season"] if "season" in rows.columns else []
+
+
 def scenario_team_totals(long_games: DataFrame) -> DataFrame:
-    """Wins by scenario and team; a tied or unplayed row adds nothing."""
+    """Wins by season (if the rows have one), scenario and team; a tied or unplayed row adds nothing."""
     require(long_games, "sim", "team", "win")
-    return long_games.groupBy("sim", "team").agg(
+    return long_games.groupBy(*_period(long_games), "sim", "team").agg(
         F.coalesce(F.sum("win"), F.lit(0.0)).alias("wins"), F.count("win").alias("decided")
     )
 
 
-def most_games(games: DataFrame) -> Column:
-    """Games of the busiest team of a schedule, as a scalar: the top of the grid of win totals."""
-    teams = games.select(F.explode(F.array("home_team", "away_team")).alias("team"))
-    return teams.groupBy("team").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+def most_games(games: DataFrame) -> DataFrame:
+    """``max_wins``: games of the busiest team of each season, the top of the grid of win totals."""
+    keys = _period(games)
+    teams = games.select(*keys, F.explode(F.array("home_team", "away_team")).alias("team"))
+    return teams.groupBy(*keys, "team").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max("n").alias("max_wins"))
 
 
-def scenario_cdf(totals: DataFrame, max_wins: int | Column, step: float = 0.5) -> DataFrame:
-    """Probability that a team wins fewer (or more) than n games, n on a grid of half wins.
+def scenario_cdf(
+    totals: DataFrame, max_wins: int | DataFrame | None = None, step: float = 0.5, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Probability that a team wins fewer (or more) than n games.
 
-    Works on the (team, wins) histogram: one row per team and distinct total, bounded by the
-    length of a season, so the running sum is small however many scenarios there are.
+    The (season, team, wins) histogram is made first: one row per distinct total however many
+    scenarios there are. Running sums over it give both shares. n takes the totals that occur, or
+    with ``max_wins`` (a number, or a table with one per season) every multiple of ``step`` from 0
+    up to it as well; totals beyond it count for the shares, and are not shown.
     """
-    require(totals, "team", "wins")
-    place = F.round(F.col("wins") / step).cast("int")
-    hist = totals.groupBy("team", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    per_team = hist.groupBy("team").agg(F.sum("n").alias("n_sims"))
-    top = F.round((max_wins if isinstance(max_wins, Column) else F.lit(max_wins)) / step).cast("int")
-    places = F.explode(F.sequence(F.lit(0), top)).alias("place")
-    grid = per_team.select("team", "n_sims", places)
-    below = Window.partitionBy("team").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("team").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.coalesce(F.col("n"), F.lit(0))
-    return grid.join(hist, ["team", "place"], "left").select(
-        "team",
+    keys = [*_period(totals), "team"]
+    require(totals, *keys, "wins")
+    place = F.round(F.col("wins") / step).cast("bigint")
+    hist = totals.groupBy(*keys, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    if max_wins is not None:
+        hist = settle(hist)
+        grid = hist.select(*keys).distinct()
+        if isinstance(max_wins, DataFrame):
+            of = [k for k in max_wins.columns if k in keys]
+            # One row a season; without seasons there is one row, which has nothing to be joined on.
+            grid = grid.join(max_wins, of) if of else grid.withColumn("max_wins", max_wins.select("max_wins").scalar())
+        else:
+            grid = grid.withColumn("max_wins", F.lit(max_wins))
+        top = F.round(F.col("max_wins") / step).cast("bigint")
+        grid = grid.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), top)).alias("place"))
+        filled = grid.withColumns({"n": F.lit(0).cast("bigint"), "shown": F.lit(True)})
+        hist = hist.withColumn("shown", F.lit(False)).unionByName(filled)
+        hist = hist.groupBy(*keys, "place").agg(F.sum("n").alias("n"), F.max("shown").alias("shown"))
+    else:
+        hist = hist.withColumn("shown", F.lit(True))
+    rows = ordered(hist, keys, ["place"], hot_rows).running(upto=running_sum("n"), all=group_sum("n")).frame
+    return rows.where("shown").select(
+        *keys,
         (F.col("place") * F.lit(step)).alias("wins"),
-        (F.coalesce(F.sum(n).over(below), F.lit(0)) / F.col("n_sims")).alias("under_prob"),
-        (1.0 - F.sum(n).over(upto) / F.col("n_sims")).alias("over_prob"),
+        ((F.col("upto") - F.col("n")) / F.col("all")).alias("under_prob"),
+        (1.0 - F.col("upto") / F.col("all")).alias("over_prob"),
     )
 
 
@@ -125,8 +147,8 @@ def scenario_overall(
     keys: Sequence[str] = ("conf", "division", "team"),
     flags: Sequence[str] = ("playoff", "div1", "seed1", "won_conf", "won_sb"),
 ) -> DataFrame:
-    """Per team: mean wins and the share of scenarios that reach each flag."""
+    """Per season (if the rows have one) and team: mean wins and the share of scenarios that reach each flag."""
     require(teams, "wins", *keys, *flags)
-    return teams.groupBy(*keys).agg(
+    return teams.groupBy(*_period(teams), *keys).agg(
         F.avg("wins").alias("wins"), *[F.avg(F.col(f).cast("double")).alias(f) for f in flags]
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_beta, draw_normal
@@ -28,8 +28,8 @@ SCENARIOS = 10_000
 SIMS_PER_BLOCK = 50
 GAMES_PER_CHUNK = 20_000
 SMALLEST_CHUNK = 1_000
-#: A schedule of up to so many games lies in few partitions, and is spread before it is opened.
-SHORT_SCHEDULE = 100_000
+#: Partitions are even if the longest has at most so many times the rows of the median one.
+EVEN = 2.0
 
 
 def _layout(n_sims: int, n_games: int, tasks: int) -> tuple[int, int]:
@@ -42,36 +42,45 @@ def _layout(n_sims: int, n_games: int, tasks: int) -> tuple[int, int]:
     return per_block, chunks
 
 
+def _measured(schedule: DataFrame) -> tuple[int, bool]:
+    """Rows of the schedule, and whether its partitions keep all tasks equally busy as they are."""
+    lengths = schedule.select(F.spark_partition_id().alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    row = lengths.agg(F.sum("n"), F.max("n"), F.percentile("n", 0.5), F.count(F.lit(1))).first()
+    rows, longest, median, parts = row[0] or 0, row[1] or 0, row[2] or 0.0, row[3]
+    return rows, parts >= _width(schedule) and longest <= EVEN * median
+
+
+def _width(schedule: DataFrame) -> int:
+    spark = schedule.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def scenario_expand(schedule: DataFrame, n_sims: int = SCENARIOS, key: str = "game_id") -> DataFrame:
     """Every game of the schedule once per scenario (``sim`` 1 to ``n_sims``).
 
-    A short schedule is spread while its rows are few: each game is first repeated per block of
-    scenarios and hashed on (block, chunk of games), and only then opened into single scenarios,
-    inside the task. All games of a scenario share a task unless there are too few scenarios to
-    keep the tasks busy; then the games are cut into chunks. A schedule of more than
-    SHORT_SCHEDULE games is spread already: it is opened where it lies, without a shuffle and
-    without being counted to the end.
+    The rows of each partition of the schedule are counted first. Where there are enough
+    partitions, none of them much longer than the others, games are opened where they lie,
+    without a shuffle. Otherwise games are spread while they are few: each is repeated per block
+    of scenarios, goes to the task of its block and of its chunk of games (by hash of the key),
+    and is opened into single scenarios there. Blocks differ by one scenario at most. All games
+    of a scenario share a task unless there are too few scenarios to keep the tasks busy, or too
+    many games; then the games are cut into chunks.
     """
     require(schedule, key)
-    spark = schedule.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
     def long(n: int):
         return F.lit(n).cast("long")
 
-    n_games = schedule.limit(SHORT_SCHEDULE + 1).count()
-    if n_games > SHORT_SCHEDULE:
+    n_games, is_even = _measured(schedule)
+    if is_even:
         return schedule.select(F.explode(F.sequence(long(1), long(n_sims))).alias("sim"), "*")
-    per_block, chunks = _layout(n_sims, n_games, width)
-    tasks = -(-n_sims // per_block) * chunks
-
-    first = F.explode(F.sequence(long(1), long(n_sims), long(per_block)))
-    spread = schedule.select(first.alias("__first"), "*").withColumn(
-        "__chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
-    )
-    last = F.least(F.col("__first") + long(per_block - 1), long(n_sims))
-    return spread.repartition(tasks, "__first", "__chunk").select(
-        F.explode(F.sequence(F.col("__first"), last)).alias("sim"), *schedule.columns
-    )
+    per_block, chunks = _layout(n_sims, n_games, _width(schedule))
+    blocks = -(-n_sims // per_block)
+    spread = schedule.select(F.explode(F.sequence(long(0), long(blocks - 1))).alias("__block"), "*")
+    task = F.col("__block") * chunks + F.pmod(F.xxhash64(key), F.lit(chunks))
+    edge = lambda b: F.floor(b * n_sims / blocks)
+    sims = F.sequence(edge(F.col("__block")) + 1, edge(F.col("__block") + 1))
+    return spread.repartitionById(blocks * chunks, task.cast("int")).select(F.explode(sims).alias("sim"), *schedule.columns)
 
 
 def attach_strengths(games: DataFrame, strengths: DataFrame) -> DataFrame:
@@ -103,13 +112,15 @@ def draw_strengths(teams: DataFrame, seed: int, keys: Sequence[str] = ("sim", "w
     return teams.withColumn(name, draw_beta("alpha", "beta", *keys, seed=seed))
 
 
-def draw_game_strengths(games: DataFrame, seed: int) -> DataFrame:
+def draw_game_strengths(games: DataFrame, seed: int, only: Column | None = None) -> DataFrame:
     """Both sides' draws on the game row itself: the draw is a function of (season, sim, week, team),
-    so no table of draws has to be joined."""
+    so no table of draws has to be joined. Games that are not in ``only`` get NULL, and no key."""
     require(games, "sim", "week", "alpha_away", "beta_away", "alpha_home", "beta_home")
     return games.withColumns(
         {
-            f"pre_game_strength_{s}": draw_beta(f"alpha_{s}", f"beta_{s}", *_period(games), "sim", "week", f"{s}_team", seed=seed)
+            f"pre_game_strength_{s}": draw_beta(
+                f"alpha_{s}", f"beta_{s}", *_period(games), "sim", "week", f"{s}_team", seed=seed, only=only
+            )
             for s in ("away", "home")
         }
     ).drop("alpha_away", "beta_away", "alpha_home", "beta_home")
@@ -135,30 +146,37 @@ def matchup_features(games: DataFrame) -> DataFrame:
     )
 
 
-def draw_margins(games: DataFrame, sigma: float, seed: int, key: str = "game_id", mean: str = "pred") -> DataFrame:
-    """``outcome_gen``: a normal margin around the prediction, keyed by (sim, game)."""
+def draw_margins(
+    games: DataFrame, sigma: float, seed: int, key: str = "game_id", mean: str = "pred", only: Column | None = None
+) -> DataFrame:
+    """``outcome_gen``: a normal margin around the prediction, keyed by (sim, game); NULL for games
+    that are not in ``only``."""
     require(games, "sim", key, mean)
-    return games.withColumn("outcome_gen", draw_normal(mean, sigma, "sim", key, seed=seed))
+    return games.withColumn("outcome_gen", draw_normal(mean, sigma, "sim", key, seed=seed, only=only))
+
+
+def _open(week: int | None) -> Column:
+    open_game = F.col("result").isNull()
+    return open_game if week is None else open_game & (F.col("week") == week)
 
 
 def fill_results(games: DataFrame, week: int | None = None) -> DataFrame:
     """Fill missing results of one week (None: of every week) with the drawn margin, rounded
     away from zero; known results and other weeks stay."""
     require(games, "result", "outcome_gen", "week")
-    open_game = F.col("result").isNull()
-    if week is not None:
-        open_game = open_game & (F.col("week") == week)
     drawn = round_away("outcome_gen").cast("int")
-    return games.withColumn("result", F.when(open_game, drawn).otherwise(F.col("result").cast("int")))
+    return games.withColumn("result", F.when(_open(week), drawn).otherwise(F.col("result").cast("int")))
 
 
-def _with_margin(games: DataFrame, model: LinearModel, sigma: float, seed: int, key: str) -> DataFrame:
+def _with_margin(
+    games: DataFrame, model: LinearModel, sigma: float, seed: int, key: str, only: Column | None = None
+) -> DataFrame:
     rows = matchup_features(games)
     for name in model.features:
         a, _, b = name.partition("_x_")
         if b and name not in rows.columns:
             rows = rows.withColumn(name, F.col(a) * F.col(b))
-    return draw_margins(model.predict(rows), sigma, seed, key)
+    return draw_margins(model.predict(rows), sigma, seed, key, only=only)
 
 
 def simulate_results(
@@ -173,16 +191,11 @@ def simulate_results(
     """Scenario games with open results filled: draw strengths, predict, draw margins, fill.
 
     Everything happens on the game row, in one pass: nothing but a small table of strengths is
-    joined, and games that stay as they are get no draws (their parameters are blanked first).
+    joined, and games that stay as they are get no keys and no draws.
     """
     require(games, "result", "week")
-    open_game = F.col("result").isNull()
-    if week is not None:
-        open_game = open_game & (F.col("week") == week)
-    rows = attach_strengths(games, strengths)
-    parameters = [c for c in rows.columns if c not in games.columns]
-    rows = rows.withColumns({c: F.when(open_game, F.col(c)) for c in parameters})
-    rows = _with_margin(draw_game_strengths(rows, seed), model, sigma, seed, key)
+    rows = draw_game_strengths(attach_strengths(games, strengths), seed, only=_open(week))
+    rows = _with_margin(rows, model, sigma, seed, key, only=_open(week))
     return fill_results(rows, week).select(*games.columns)
 
 

@@ -135,12 +135,14 @@ def schedule_title(names: DataFrame, team: str, season: int) -> DataFrame:
 def standings_report(
     overall: DataFrame, flags: Sequence[str] = ("playoff", "div1", "seed1", "won_conf", "won_sb")
 ) -> DataFrame:
-    """Teams by conference and division, most wins first, with texts for wins and shares."""
+    """Teams by season (if there is one), conference and division, most wins first, with texts for wins and shares."""
     require(overall, "conf", "division", "team", "wins", *flags)
+    period = ["season"] if "season" in overall.columns else []
     rows = sort_multi(
-        overall.withColumn("division", strip_first("division", "AFC |NFC ")), "conf", "division", "-wins", "team"
+        overall.withColumn("division", strip_first("division", "AFC |NFC ")), *period, "conf", "division", "-wins", "team"
     )
     return rows.select(
+        *period,
         "conf",
         "division",
         "team",
