@@ -12,8 +12,10 @@ from ..plans import history as H
 from ..plans import margin as G
 from ..plans import ratings as P
 from ..plans import reports as Q
+from ..plans import state as S
 from ..plans import strength as T
 from ..sources import fixtures as fx
+from ..sources.shared import shared_folder
 from . import query, scenarios
 from .models import _preseason
 from .views import least_squares, rd, rounded, sql
@@ -92,7 +94,11 @@ def current_ratings_inputs(spark, d):
     ),
 )
 def current_state(spark, d):
-    rows = T.current_state(fx.games(spark, d), None, 12)
+    games = fx.games(spark, d)
+    return _state_columns(T.current_state(games, None, 12, levels=H.team_levels(games, codes={})))
+
+
+def _state_columns(rows):
     picked = rows.select(
         "id", "season", "team", "week", "game_id", "game_num", "wins",
         "cumulative_point_mean", "cumulative_pd", "cumulative_season_points_mean", *_SDS,
@@ -100,6 +106,34 @@ def current_state(spark, d):
     return rounded(picked.withColumns({c: F.round(c, 4) for c in _SDS}))
 
 
+def _at_week(text: str, week: int) -> str:
+    return text.replace("week <= 12", f"week <= {week}")
+
+
+@query(
+    "a5_state_from_snapshot",
+    _at_week(
+        sql(
+            f"""SELECT season || '_' || team AS id, season, team, week, game_id, game_num, wins,
+                       {rd('cumulative_point_mean', 'cumulative_pd', 'cumulative_season_points_mean')}, {rd(*_SDS, digits=4)}
+                FROM (SELECT *, rank() OVER (PARTITION BY season, team ORDER BY week DESC) AS place
+                      FROM running_now JOIN league_now USING (season, week) WHERE week = 1 OR result IS NOT NULL)
+                WHERE place = 1""",
+            "running_now",
+            "league_now",
+        ),
+        14,
+    ),
+)
+def state_from_snapshot(spark, d):
+    """The state of week 14 from the stored state of week 12 and the games of weeks 13 and 14 only."""
+    games = fx.games(spark, d)
+    path = shared_folder(spark)
+    S.store_state(S.running_state(games, 12, codes={}), path, 12)
+    later = games.where(F.col("week").between(13, 14))
+    return _state_columns(S.state_rows(S.extend_state(S.stored_state(spark, path, 12), later, codes={})))
+
+
 @query("o6_strength_table")
 def strength_table(spark, d):
     """Pre-season model, in-season model, and the table for every season as of week 12."""
@@ -224,7 +258,7 @@ _LABEL = "winner || ' wins ' || win_prob || chr(10) || 'with an expected MOV of
         f"""SELECT season, week, away_team, home_team, exp_result, winner, {rd('win_prob_num')}, win_prob,
                    away_team || ' @ ' || home_team AS clean_title, {_LABEL} AS label,
                    home_team || ' wins ->' AS home_label, '<- ' || away_team || ' wins' AS away_label,
-                   CAST(dense_rank() OVER (PARTITION BY season, week ORDER BY win_prob_num) AS INTEGER) AS title_level
+                   dense_rank() OVER (PARTITION BY season, week ORDER BY win_prob_num) AS title_level
             FROM matchup_summary""",
         "matchup_summary",
     ),
@@ -259,7 +293,7 @@ UNION ALL SELECT *, away_team, ' @ ' || home_team FROM matchup_summary WHERE wee
                   'Week ' || week || setting AS clean_title,
                   winner || ' wins ' || win_prob || chr(10) || 'Expected MOV: ' || exp_result || ' points' AS label,
                   home_team || ' wins ->' AS home_label, '<- ' || away_team || ' wins' AS away_label,
-                  CAST(dense_rank() OVER (PARTITION BY season, team ORDER BY week) AS INTEGER) AS title_level
+                  dense_rank() OVER (PARTITION BY season, team ORDER BY week) AS title_level
            FROM schedule""",
         "matchup_summary",
         schedule=_SCHEDULE,
@@ -269,6 +303,26 @@ def team_season_projection(spark, d):
     return rounded(Q.team_season_projection(scenarios.filled(spark, d)))
 
 
+_SIDED = """
+SELECT *, home_team AS team, 'Week ' || week || ' vs ' || away_team AS clean_title FROM wide WHERE week <= 18
+UNION ALL SELECT *, away_team, 'Week ' || week || ' @ ' || home_team FROM wide WHERE week <= 18"""
+
+
+@query(
+    "o10_team_season_histogram",
+    sql(
+        f"""SELECT season, week, team, clean_title,
+                   CASE WHEN result > 0 THEN preferred_color_home WHEN result <= 0 THEN preferred_color_away END AS fill_col,
+                   CAST(floor(result + 0.5) AS INTEGER) AS bin, {rd('count(*) / 20.0::DOUBLE AS height')}
+            FROM sided WHERE result IS NOT NULL GROUP BY ALL""",
+        "wide",
+        sided=_SIDED,
+    ),
+)
+def team_season_histogram(spark, d):
+    return rounded(Q.team_season_histogram(scenarios.wide(spark, d), n_sims=scenarios.SIMS))
+
+
 @query(
     "o11_standings_report",
     sql(

@@ -130,20 +130,53 @@ def _preseason(spark, d):
     return P.preseason_inputs(final, fx.ratings(spark, d), codes={})
 
 
-@query(
-    "m10_random_effect_basis",
-    sql(
-        f"SELECT game_id, CAST(home_team = 'NATION_3' AS DOUBLE) AS r1, CAST(home_team = 'NATION_4' AS DOUBLE) AS r2, {rd('CASE WHEN home_team = $$NATION_3$$ THEN (week - 10.0) / 5.0 ELSE 0 END AS r3', 'CASE WHEN home_team = $$NATION_4$$ THEN (week - 10.0) / 5.0 ELSE 0 END AS r4')} FROM games",
-        "games",
-    ),
+_TEAMS = [f"NATION_{i}" for i in range(25)]
+_EFFECTS = ", ".join(
+    [f"CAST(home_team = '{t}' AS DOUBLE) AS r{i}" for i, t in enumerate(_TEAMS, start=1)]
+    + [rd(f"CASE WHEN home_team = $${t}$$ THEN (week - 10.0) / 5.0 ELSE 0 END AS r{i}") for i, t in enumerate(_TEAMS, start=26)]
 )
+
+
+@query("m10_random_effect_basis", sql(f"SELECT game_id, {_EFFECTS} FROM games", "games"))
 def random_effect_basis(spark, d):
-    levels = ["NATION_3", "NATION_4"]
-    basis = [*X.random_effect("home_team", levels), *X.random_effect("home_team", levels, _OTHER)]
+    basis = [*X.random_effect("home_team", _TEAMS), *X.random_effect("home_team", _TEAMS, _OTHER)]
     rows = fx.games(spark, d)
     return rounded(rows.select("game_id", *[b.column.alias(f"r{i}") for i, b in enumerate(basis, start=1)]))
 
 
+# Least squares with a shrunken intercept for each team of each season: the levels are eliminated from
+# the penalised normal equations, the 2 x 2 system that is left is solved, and the levels put back.
+_LEVEL_VIEWS = {
+    "level_sums": """
+        SELECT season || '_' || team AS team_season, count(*) AS n, sum(z) AS sz, sum(z * z) AS szz, sum(y) AS sy, sum(z * y) AS szy
+        FROM (SELECT season, team, CAST(score AS DOUBLE) AS y, (week - 10.0) / 5.0 AS z FROM long WHERE score IS NOT NULL)
+        GROUP BY ALL""",
+    "reduced": """
+        SELECT sum(n - n * n / (n + 3.0)) AS a, sum(sz - n * sz / (n + 3.0)) AS b, sum(szz - sz * sz / (n + 3.0)) AS c,
+               sum(sy - n * sy / (n + 3.0)) AS r, sum(szy - sz * sy / (n + 3.0)) AS s FROM level_sums""",
+    "fixed_part": "SELECT (r * c - b * s) / (a * c - b * b) AS b0, (a * s - b * r) / (a * c - b * b) AS b1 FROM reduced",
+}
+
+
+@query(
+    "m10_random_effect_levels",
+    sql(
+        f"""SELECT term, {rd('estimate')} FROM (
+              SELECT unnest(['(intercept)', 'week']) AS term, unnest([b0, b1]) AS estimate FROM fixed_part
+              UNION ALL SELECT team_season, (sy - n * b0 - sz * b1) / (n + 3.0) FROM level_sums CROSS JOIN fixed_part)""",
+        "long",
+        **_LEVEL_VIEWS,
+    ),
+)
+def random_effect_levels(spark, d):
+    """An intercept for each team of each season, without a column for each."""
+    long = H.team_games(fx.games(spark, d), codes={}).withColumn("team_season", F.concat_ws("_", "season", "team"))
+    line = X.Basis("week", (X.Part("week", 10.0, 5.0),), "s(week)")
+    model = M.level_effect_fit(long, "score", [line], "team_season", 3.0, logit=False)
+    fixed = spark.createDataFrame([("(intercept)", float(model.beta[0])), ("week", float(model.beta[1]))], "term string, estimate double")
+    return rounded(fixed.unionByName(model.effects.select(F.col("team_season").alias("term"), F.col("effect").alias("estimate"))))
+
+
 # A two-column logit fit (intercept and scaled rating) by reweighted least squares, unrolled:
 # each step solves a 2 x 2 system from sums over the rows. Penalty on the slope only.
 _STEPS = 8

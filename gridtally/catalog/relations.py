@@ -278,7 +278,7 @@ def earliest_per_group(spark, d):
 
 def _levels(stat: str) -> str:
     return sql(
-        f"SELECT home_team, {rd('stat')}, CAST(dense_rank() OVER (ORDER BY stat) AS INTEGER) AS level "
+        f"SELECT home_team, {rd('stat')}, dense_rank() OVER (ORDER BY stat) AS level "
         f"FROM (SELECT home_team, {stat}(result) AS stat FROM games GROUP BY home_team)",
         "games",
     )

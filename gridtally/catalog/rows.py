@@ -434,6 +434,10 @@ def long_to_sides(spark, d):
     return E.long_to_sides(long, ["game_id", "week", "result"], ["team", "score"])
 
 
-@query("m2_dummy_encode", sql("SELECT game_id, CAST(week = 2 AS DOUBLE) AS week_2, CAST(week = 3 AS DOUBLE) AS week_3 FROM games", "games"))
+_WEEKS = range(1, 20)
+_DUMMIES = ", ".join(f"CAST(week = {w} AS DOUBLE) AS week_{w}" for w in _WEEKS[1:])
+
+
+@query("m2_dummy_encode", sql(f"SELECT game_id, {_DUMMIES} FROM games", "games"))
 def dummy_encode(spark, d):
-    return X.dummy_encode(fx.games(spark, d).select("game_id", "week"), "week", [1, 2, 3]).drop("week")
+    return X.dummy_encode(fx.games(spark, d).select("game_id", "week"), "week", list(_WEEKS)).drop("week")

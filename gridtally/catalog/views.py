@@ -32,7 +32,7 @@ def _running(source: str) -> str:
                CASE WHEN bool_or(score IS NULL) OVER w THEN NULL ELSE avg(score) OVER w END AS cumulative_point_mean,
                CASE WHEN bool_or(delta IS NULL) OVER w THEN NULL ELSE sum(delta) OVER w END AS cumulative_pd,
                CASE WHEN bool_or(delta IS NULL) OVER w THEN NULL ELSE avg(delta) OVER w END AS delta_mean,
-               CAST(row_number() OVER w AS INTEGER) AS game_num,
+               row_number() OVER w AS game_num,
                sum(CASE WHEN game_type = 'REG' THEN win ELSE 0.0 END) OVER g AS reg_wins,
                sum(win) OVER g AS tot_wins, count(*) OVER g AS tot_games
         FROM {source}

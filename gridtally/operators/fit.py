@@ -18,10 +18,13 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
 from .columns import require
 from .features import Basis, Packing
+from .ordered import attach
 
 MAX_COLUMNS = 400
+MAX_LEVEL_COLUMNS = 20
 MAX_FOLDS = 100
 
 
@@ -195,13 +198,18 @@ def residual_sigma(df: DataFrame, truth: str, estimate: str, n_features: int, na
 # ---------------------------------------------------------- sums over partitions
 
 
-def sum_vectors(df: DataFrame, make: Callable[[], Callable], size: int, spread: int = 32) -> np.ndarray:
-    """Sum of fixed-length vectors computed from Arrow batches.
+#: Vectors that a task adds up, where the root of their number is not more.
+FAN = 16
 
-    ``make()`` gives a function from a float matrix (rows x columns of ``df``) to a vector of
-    ``size``. Each task adds up its batches and emits one vector; a second, narrow stage adds
-    those in ``spread`` tasks, and the driver adds the ``spread`` vectors left. What reaches
-    any one process is bounded by ``size``, not by the number of rows.
+
+def sum_vectors(df: DataFrame, make: Callable[[], Callable], size: int, keys: int = 1) -> np.ndarray:
+    """Sums of fixed-length vectors computed from Arrow batches: ``keys`` of them, a row each.
+
+    ``make()`` gives a function from a float matrix (rows x columns of ``df``) to a matrix of
+    ``keys`` x ``size``. Each task adds up its batches and emits a vector for each key. While a key
+    has more than FAN vectors, tasks of their own add up to about the root of their number (but no
+    fewer than FAN) each, key by key, and so on; the driver adds the last few. What reaches any one
+    process is bounded by the size and the root of the number of tasks, not by the number of rows.
     """
     fn = make()
 
@@ -209,28 +217,41 @@ def sum_vectors(df: DataFrame, make: Callable[[], Callable], size: int, spread:
         import numpy
         import pyarrow
 
-        total = numpy.zeros(size)
+        total = numpy.zeros((keys, size))
         for b in batches:
             if b.num_rows:
-                total += fn(numpy.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
-        yield pyarrow.RecordBatch.from_arrays([pyarrow.array([total.tobytes()], pyarrow.binary())], ["v"])
+                total += numpy.reshape(fn(numpy.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])), (keys, size))
+        rows = [total[k].tobytes() for k in range(keys)]
+        yield pyarrow.RecordBatch.from_arrays([pyarrow.array(range(keys), pyarrow.int32()), pyarrow.array(rows, pyarrow.binary())], ["k", "v"])
 
     def merge(batches):
         import numpy
         import pyarrow
 
-        total = numpy.zeros(size)
+        totals: dict = {}
         for b in batches:
-            for v in b.column(0):
-                total += numpy.frombuffer(v.as_py(), dtype="float64")
-        yield pyarrow.RecordBatch.from_arrays([pyarrow.array([total.tobytes()], pyarrow.binary())], ["v"])
-
-    tasks = max(1, min(spread, df.sparkSession.sparkContext.defaultParallelism // 4))
-    partials = df.mapInArrow(part, "v binary").repartition(tasks).mapInArrow(merge, "v binary")
-    total = np.zeros(size)
-    for row in partials.collect():
-        total += np.frombuffer(bytes(row["v"]), dtype="float64")
-    return total
+            for k, v in zip(b.column(0).to_pylist(), b.column(1)):
+                x = numpy.frombuffer(v.as_buffer(), dtype="float64")
+                totals[k] = totals[k] + x if k in totals else x
+        rows = [v.tobytes() for v in totals.values()]
+        yield pyarrow.RecordBatch.from_arrays([pyarrow.array(list(totals), pyarrow.int32()), pyarrow.array(rows, pyarrow.binary())], ["k", "v"])
+
+    partials, left, place = df.mapInArrow(part, "k int, v binary"), df.rdd.getNumPartitions(), F.spark_partition_id()
+    while left > FAN:
+        width = -(-left // max(FAN, math.isqrt(left)))
+        slots = partials.withColumn("slot", (F.pmod(place, F.lit(width)) * keys + F.col("k")).cast("int"))
+        partials = slots.repartitionById(width * keys, "slot").select("k", "v").mapInArrow(merge, "k int, v binary")
+        left, place = width, F.floor(F.spark_partition_id() / keys)  # a task of a level holds one key
+    out = np.zeros((keys, size))
+    for row in partials.toLocalIterator():
+        out[row["k"]] += np.frombuffer(bytes(row["v"]), dtype="float64")
+    return out
+
+
+def _symmetric(upper: np.ndarray, p: int) -> np.ndarray:
+    out = np.zeros((p, p))
+    out[np.triu_indices(p)] = upper
+    return out + np.triu(out, 1).T
 
 
 # ------------------------------------------------------------ logistic smooth fit
@@ -406,7 +427,7 @@ def _working(design, beta: np.ndarray | None):
         rest = numpy.where(y < 1, 1.0 - y, 1.0)
         deviance = 2.0 * (y * numpy.log(safe / mu) + (1.0 - y) * numpy.log(rest / (1.0 - mu))).sum()
         pearson = ((y - mu) ** 2 / w).sum()
-        return numpy.concatenate([(xw.T @ x).ravel(), xw.T @ z, [deviance, pearson, len(m)]])
+        return numpy.concatenate([(xw.T @ x)[numpy.triu_indices(x.shape[1])], xw.T @ z, [deviance, pearson, len(m)]])
 
     return lambda: step
 
@@ -424,7 +445,7 @@ def smooth_fit(
 ) -> SmoothModel:
     """Penalised logit fit of a share in [0, 1] by reweighted least squares.
 
-    One pass over the rows per step; a pass returns (p + 1)^2 sums. With ``quasi`` the
+    One pass over the rows per step; a pass returns the upper triangle of the (p + 1)^2 sums. With ``quasi`` the
     dispersion is estimated (Pearson chi-square / (n - edf)) and scales the covariance;
     otherwise it is 1. Rows with a missing value are left out.
 
@@ -441,11 +462,12 @@ def smooth_fit(
     columns = df.select(F.col(target).cast("double").alias("y"), *packing.columns()).na.drop("any")
     penalty = penalty_diagonal(basis, smoothing, select)
     beta, last, before, steps, converged = None, None, math.inf, 0, False
+    half = p * (p + 1) // 2
     with held(columns) as rows:
         while True:
-            total = sum_vectors(rows, _working(design, beta), p * p + p + 3)
-            gram, right = total[: p * p].reshape(p, p), total[p * p : p * p + p]
-            deviance, pearson, n = total[p * p + p :]
+            total = sum_vectors(rows, _working(design, beta), half + p + 3)[0]
+            gram, right = _symmetric(total[:half], p), total[half : half + p]
+            deviance, pearson, n = total[half + p :]
             if n == 0:
                 raise ValueError("no complete rows to fit on")
             new, inverse = _solve(gram, right, penalty)
@@ -514,7 +536,8 @@ def grid_search(
     packing = Packing.of(basis)
     design = packing.design()
     keep = [F.col(fold).cast("double").alias("f"), F.col(target).cast("double").alias("y")]
-    one = p * p + p + 3
+    half = p * (p + 1) // 2
+    one = half + p + 3
     with held(df.select(*keep, *packing.columns()).na.drop("any")) as rows:
         step = _working(design, base.beta)()
 
@@ -527,16 +550,16 @@ def grid_search(
                     mine = m[m[:, 0] == value]
                     if len(mine):
                         out[f] = step(mine[:, 1:])
-                return out.ravel()
+                return out
 
             return fn
 
-        parts = sum_vectors(rows, by_fold, folds * one).reshape(folds, one)
+        parts = sum_vectors(rows, by_fold, one, folds)
         whole = parts.sum(axis=0)
         betas = np.zeros((folds, p, c))
         for f in range(folds):
             rest = whole - parts[f]
-            gram, right = rest[: p * p].reshape(p, p), rest[p * p : p * p + p]
+            gram, right = _symmetric(rest[:half], p), rest[half : half + p]
             for j, lam in enumerate(grid):
                 betas[f, :, j] = _solve(gram, right, penalty_diagonal(basis, lam, select))[0]
 
@@ -552,11 +575,11 @@ def grid_search(
                         mu = 1.0 / (1.0 + numpy.exp(-numpy.clip(x @ betas[f], -30.0, 30.0)))
                         out[f, :c] = ((mine[:, 1:2] - mu) ** 2).sum(axis=0)
                         out[f, c] = len(mine)
-                return out.ravel()
+                return out
 
             return fn
 
-        errors = sum_vectors(rows, score, folds * (c + 1)).reshape(folds, c + 1)
+        errors = sum_vectors(rows, score, c + 1, folds)
     used = errors[errors[:, c] > 0]
     rmse = np.sqrt(used[:, :c] / used[:, c:])
     err = rmse.std(axis=0, ddof=1) / math.sqrt(len(used)) if len(used) > 1 else np.full(c, np.nan)
@@ -564,3 +587,107 @@ def grid_search(
     return df.sparkSession.createDataFrame(
         table, "candidate int, smoothing double, rmse double, folds int, std_err double"
     )
+
+
+# ------------------------------------------------- random effects of many levels
+
+
+@dataclass(frozen=True)
+class LevelModel:
+    """A model with one ridge-shrunk intercept for each level of a label, of any number: the fixed
+    columns' coefficients (intercept first) here, the levels' effects in a stored table."""
+
+    target: str
+    level: str
+    basis: tuple[Basis, ...]
+    beta: np.ndarray = field(repr=False)
+    effects: DataFrame = field(repr=False)
+    logit: bool
+    n: int
+    steps: int
+
+    def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
+        """A level that was not fitted, or NULL, gets the population value."""
+        rows = attach(df, self.effects, [self.level], "left")
+        eta = F.lit(float(self.beta[0])) + F.coalesce("effect", F.lit(0.0))
+        for b, v in zip(self.basis, self.beta[1:]):
+            eta = eta + b.column * F.lit(float(v))
+        return rows.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)) if self.logit else eta).drop("effect")
+
+
+def level_effect_fit(
+    df: DataFrame,
+    target: str,
+    basis: Sequence[Basis],
+    level: str,
+    penalty: float,
+    logit: bool = True,
+    max_steps: int = 25,
+    tolerance: float = 1e-9,
+) -> LevelModel:
+    """Penalised fit of fixed columns and a random intercept per level, without a column per level.
+
+    The normal equations are block-sparse: the levels' part is diagonal. A step adds up, per level and
+    map-side combined, the sums of weights w, of w x and of w z; a level's effect is then eliminated
+    (Schur complement), so that only sums of p x p products reach the driver, and the effects come
+    back as a table by level. With ``logit`` the target is a share in [0, 1] and steps go on until
+    the largest change of a linear predictor's part is below ``tolerance``; otherwise one step of
+    least squares is the fit. Rows with a missing value are left out.
+    """
+    require(df, target, level)
+    p = len(basis) + 1
+    if p > MAX_LEVEL_COLUMNS:
+        raise ValueError(f"{p} fixed columns; their products are columns of an aggregate, meant for at most {MAX_LEVEL_COLUMNS}")
+    if penalty <= 0:
+        raise ValueError("levels and the intercept can only be told apart with a penalty above 0")
+    xs = [F.lit(1.0), *[F.col(f"x{i}") for i in range(1, p)]]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    columns = [F.col(level).alias("level"), F.col(target).cast("double").alias("y")]
+    columns += [b.column.cast("double").alias(f"x{i}") for i, b in enumerate(basis, start=1)]
+    beta, effects, steps = None, None, 0
+    with held(df.select(*columns).na.drop("any")) as rows:
+        while True:
+            mu, eta = F.col("y"), F.col("y")
+            now = rows
+            if logit and beta is None:
+                mu = (F.col("y") + 0.5) / 2.0
+                eta = F.log(mu / (1.0 - mu))
+            elif logit:
+                now = now.join(effects, "level")
+                eta = sum((F.lit(float(v)) * x for v, x in zip(beta, xs)), F.col("effect"))
+                eta = F.greatest(F.least(eta, F.lit(30.0)), F.lit(-30.0))
+                mu = 1.0 / (1.0 + F.exp(-eta))
+            weight = mu * (1.0 - mu) if logit else F.lit(1.0)
+            now = now.select("level", "y", *[x.alias(f"x{i}") for i, x in enumerate(xs) if i], mu.alias("mu"), eta.alias("eta"))
+            now = now.withColumn("w", weight if not logit else F.col("mu") * (1.0 - F.col("mu")))
+            wz = F.col("w") * F.col("eta") + (F.col("y") - F.col("mu"))
+            sums = [F.sum(F.col("w") * xs[i] * xs[j]).alias(f"a{i}_{j}") for i, j in pairs]
+            sums += [F.sum(wz * x).alias(f"t{i}") for i, x in enumerate(xs)]
+            by_level = settle(now.groupBy("level").agg(F.count(F.lit(1)).alias("n"), *sums))
+            # a0_i is the level's row of the mixed block, a0_0 + penalty its own.
+            own = F.col("a0_0") + F.lit(float(penalty))
+            total = by_level.agg(
+                F.sum("n").alias("n"),
+                *[F.sum(F.col(f"a{i}_{j}") - F.col(f"a0_{i}") * F.col(f"a0_{j}") / own).alias(f"a{i}_{j}") for i, j in pairs],
+                *[F.sum(F.col(f"t{i}") - F.col(f"a0_{i}") * F.col("t0") / own).alias(f"t{i}") for i in range(p)],
+            ).first()
+            if not total["n"]:
+                raise ValueError("no complete rows to fit on")
+            gram = np.zeros((p, p))
+            for i, j in pairs:
+                gram[i, j] = gram[j, i] = total[f"a{i}_{j}"]
+            new = _solve(gram, np.array([total[f"t{i}"] for i in range(p)]), np.zeros(p))[0]
+            fixed = sum((F.col(f"a0_{i}") * F.lit(float(v)) for i, v in enumerate(new)), F.lit(0.0))
+            found = settle(by_level.select("level", ((F.col("t0") - fixed) / own).alias("effect")))
+            steps += 1
+            moved = math.inf if beta is None else float(np.abs(new - beta).max())
+            if beta is not None and moved <= tolerance:
+                both = found.join(effects.withColumnRenamed("effect", "before"), "level")
+                moved = both.agg(F.max(F.abs(F.col("effect") - F.col("before")))).first()[0]
+            beta, effects = new, found
+            if not logit or moved <= tolerance:
+                break
+            if steps >= max_steps:
+                raise NotConverged(f"no settled fit after {steps} steps")
+    table = effects.withColumnRenamed("level", level)
+    return LevelModel(target, level, tuple(basis), beta, table, logit, int(total["n"]), steps)

@@ -95,6 +95,13 @@ def weekly_histogram(games: DataFrame, week: int | None = None, n_sims: int = 10
     )
 
 
+def _both_sides() -> Column:
+    return F.array(
+        F.struct(F.col("home_team").alias("team"), template(HOME_TITLE).alias("clean_title")),
+        F.struct(F.col("away_team").alias("team"), template(AWAY_TITLE).alias("clean_title")),
+    )
+
+
 def team_season_projection(
     games: DataFrame, team: str | None = None, last_week: int = 18, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -106,11 +113,7 @@ def team_season_projection(
     if team is not None:
         games = games.where((F.col("home_team") == team) | (F.col("away_team") == team))
     rows = _favourite(_game_summary(games))
-    sides = F.array(
-        F.struct(F.col("home_team").alias("team"), template(HOME_TITLE).alias("clean_title")),
-        F.struct(F.col("away_team").alias("team"), template(AWAY_TITLE).alias("clean_title")),
-    )
-    rows = rows.select("*", F.inline(sides))
+    rows = rows.select("*", F.inline(_both_sides()))
     if team is not None:
         rows = rows.where(F.col("team") == team)
     rows = rows.withColumns(
@@ -124,6 +127,26 @@ def team_season_projection(
     return placed.drop("margin", "home_share", "win_prob_num")
 
 
+def team_season_histogram(
+    games: DataFrame, team: str | None = None, last_week: int = 18, n_sims: int = 10_000
+) -> DataFrame:
+    """Heights of unit-wide margin bins per game of one team's schedule (None: of every team's),
+    titled "Week n vs/@ X" and filled with the winner's colour.
+
+    Bins are counted per matchup first, so scenario rows are not repeated for the two sides.
+    """
+    require(games, "preferred_color_home", "preferred_color_away", "result", "week")
+    games = games.where(F.col("week") <= last_week)
+    if team is not None:
+        games = games.where((F.col("home_team") == team) | (F.col("away_team") == team))
+    fill = if_else(F.col("result") > 0, F.col("preferred_color_home"), F.col("preferred_color_away"))
+    bins = histogram_unit(games.withColumn("fill_col", fill), [*_game_keys(games), "fill_col"], "result", n_sims)
+    rows = bins.select("*", F.inline(_both_sides()))
+    if team is not None:
+        rows = rows.where(F.col("team") == team)
+    return rows.drop("home_team", "away_team")
+
+
 def schedule_title(names: DataFrame, team: str, season: int) -> DataFrame:
     """One row with the title of a team's schedule report."""
     require(names, "team_abbr", "team_name")

@@ -33,7 +33,7 @@ from ..operators.fit import (
     quasibinomial_smooth_fit,
 )
 from ..operators.ordered import HOT_ROWS, attach, ordered, previous
-from ..operators.relate import best_candidate, left_join_on, small, sort_multi
+from ..operators.relate import best_candidate, known_levels, left_join_on, small, sort_multi
 from ..operators.splits import group_split, kfold, stratified_split
 from .history import running_team_stats, team_games, with_league_stats, with_outcome
 
@@ -192,16 +192,20 @@ def current_state(
     week: int,
     codes: Mapping[str, str] | None = None,
     hot_rows: int = HOT_ROWS,
+    levels: DataFrame | None = None,
 ) -> DataFrame:
     """Latest started row of every team with its running statistics, as of a week.
 
-    An unplayed game counts 0 wins and no margin here. Without ``season``, for every season.
+    With a table of ``levels`` (team) a code that is not in it is NULL, and the games of all unknown
+    codes of a season count as one team's. An unplayed game counts 0 wins and no margin here. Without ``season``, for every season.
     The latest week per team comes from the games, so the running statistics are computed once.
     """
     if season is not None:
         games = games.where(F.col("season") == season)
     games = games.where(F.col("week") <= week)
     long = team_games(games, codes=codes or {})
+    if levels is not None:
+        long = known_levels(long, "team", levels)
     stats = with_league_stats(
         running_team_stats(with_outcome(long, 0.0), hot_rows), long, across_seasons=False
     )
