@@ -36,13 +36,13 @@ _SEPARATES = np.zeros(256, bool)
 _SEPARATES[list(SEPARATORS)] = True
 NO_LANGUAGE = "und"
 #: Windows that a group may have.
-BUDGET = 2_000_000
+BUDGET = 1_000_000
 #: Bits of a node's hash that have a place in a bitmap: 2^26 places are 8 MB.
 PLACE_BITS = 26
 #: Windows and different words that a task holds before it adds them up or passes them on.
-HELD = 1 << 20
-HELD_WORDS = 400_000
-PART_BYTES = 4 << 20
+HELD = 1 << 19
+HELD_WORDS = 200_000
+PART_BYTES = 2 << 20
 
 _FOLD = U64(0x9E3779B97F4A7C15)
 
