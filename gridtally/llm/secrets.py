@@ -26,11 +26,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Kinds that the method adds; all are of fixed public shapes but the last, which needs mixed characters.
 MORE = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----")),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")),
-    ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
-    ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
-    ("mixed", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])")),
+    ("pem", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z]+ )?PRIVATE KEY-----")),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+")),
+    ("github", re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}+")),
+    ("slack", re.compile(r"(?<![A-Za-z0-9-])xox[abprs]-[A-Za-z0-9-]{10,}+")),
+    ("mixed", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+")),
 )
 KINDS = ("assign", "access", "hex", *(k for k, _ in MORE))
 MIN_BITS = 3.5
@@ -55,15 +55,32 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def added_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
-    """Spans of the further kinds that touch no span found before them."""
-    taken = [(s[1], s[2]) for s in base]
+    """Spans of the further kinds that touch no span found before them. Each kind's matches and the
+    spans before them are gone through side by side, in order."""
+    taken = _joined([(s[1], s[2]) for s in base])
     out = []
     for kind, pattern in MORE:
+        new, at = [], 0
         for m in pattern.finditer(text):
-            if (kind != "mixed" or _mixed(m[0])) and not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((kind, m.start(), m.end(), m[0]))
-                taken.append(m.span())
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if (at == len(taken) or taken[at][0] >= m.end()) and (kind != "mixed" or _mixed(m[0])):
+                new.append((kind, m.start(), m.end(), m[0]))
+        if new:
+            out += new
+            taken = _joined(taken + [(s[1], s[2]) for s in new])
     return out
 
 
