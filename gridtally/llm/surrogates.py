@@ -53,7 +53,7 @@ _NAMES = "|".join(sorted({g for gs in GIVEN.values() for g in gs}, key=lambda g:
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kind, pattern, what may not stand before, what may not stand after.
 PATTERNS = (
-    ("email", r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+", r"[\p{L}\p{N}._%+-]", ""),
+    ("email", r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++", r"[\p{L}\p{N}._%+-]", ""),
     ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", r"[\p{L}\p{N}]", r"[\p{L}\p{N}]"),
     ("ip", rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"[\d.]", r"\d|\.\d"),
     ("ssn", r"\d{3}-\d{2}-\d{4}", r"[\d-]", r"\d|-\d"),
@@ -90,7 +90,7 @@ def _at(x: Column, i: Column) -> Column:
 
 def _chars(x: Column, each) -> Column:
     """Rewrite a string that is not empty, character by character: ``each(character, place from 1)``."""
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: each(_at(x, i), i)), "")
+    return F.array_join(F.transform(F.split(x, ""), lambda c, i: each(c, i + 1)), "")
 
 
 def _keyed(key: str, kind: Column, value: Column, attempt: int) -> Column:
