@@ -141,13 +141,15 @@ class Forest:
         return x != y
 
 
-def _in_blocks(rows: DataFrame, group: str, size: str, limit: int, id_: str) -> DataFrame:
-    """Repeat each row for every pair of blocks that it takes part in; ``i`` <= ``j`` are the
-    blocks, ``mine`` the row's own. Groups within ``limit`` are one block."""
-    blocks = F.ceil(F.col(size) / F.lit(limit)).cast("int")
+def _in_blocks(rows: DataFrame, group: str, size: str, limit: int, id_: str, count: str) -> DataFrame:
+    """Repeat each row for every pair of blocks that it takes part in; ``i`` < ``j`` are the blocks,
+    ``mine`` the row's own. A group has a block for each ``limit`` of its size, but no more than rows;
+    one within the limit is block 0 alone. Rows of one block meet in the pairs of neighbours."""
+    blocks = F.least(F.ceil(F.col(size) / F.lit(limit)), F.col(count)).cast("int")
     own = F.pmod(F.xxhash64(F.col(id_), F.lit(7)), blocks).cast("int")
-    rows = rows.withColumns({"mine": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", size)
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: (b != F.col("mine")) | (blocks == 1))
+    rows = rows.withColumn("mine", own).withColumn("other", F.explode(others))
+    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", *{size, count})
     return rows.repartition(F.col(group), F.col("i"), F.col("j")).sortWithinPartitions(group, "i", "j")
 
 
@@ -184,7 +186,7 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     rows = bands.join(shared, "band").join(classes.select("key", "sketch"), "key")
     allowed = flips_allowed(percent, bands_for(percent) * BAND_ROWS)
-    met = _in_blocks(rows, "band", "size", BUCKET_BLOCK, "key")
+    met = _in_blocks(rows, "band", "size", BUCKET_BLOCK, "key", "size")
     return met.select("band", "i", "j", "key", "sketch").mapInArrow(lambda it: _forest_of_sketches(it, allowed), "a bigint, b bigint")
 
 
@@ -246,7 +248,7 @@ def _confirmed(batches, shingle: int, percent: int):
         sets, at = distinct(h, doc, rows.num_rows)
         mine = rows.column("mine").to_numpy()
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        for x, y in similar(sets, at, percent, None if i == j else (mine == j).astype(np.int8)):
+        for x, y in similar(sets, at, percent, None if j - i <= 1 else (mine == j).astype(np.int8)):
             a.append(ids[x])
             b.append(ids[y])
         if len(a) > 20_000:
@@ -266,7 +268,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     Null and empty texts have no set, are linked with nothing and kept. Rows that repeat a key each
     get a row; texts of one key count as linked. A null key is never kept and names no component:
     its row has the component of the keys whose text has the same set, null if there are none.
-    Work on a candidate group grows with the square of its number of blocks.
+    Work on a candidate group grows with the square of its number of blocks; two texts, of any length,
+    are two rows.
     """
     sigs = settle(signatures(docs, key, text, shingle, percent))
     name = ["n", "h1", "h2"]
@@ -275,12 +278,13 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     full = settle(sigs.join(classes, ["key", "th", *name]).select("key", "bands", "sketch"))
     group = settle(components(candidate_links(full, percent)))
     members = group.join(classes.select(F.col("key").alias("node"), "th", "n"), "node")
-    members = settle(members.join(members.groupBy("component").agg(F.sum("n").alias("size")), "component"))
+    sizes = members.groupBy("component").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("texts"))
+    members = settle(members.join(sizes, "component"))
     texts = docs.select(F.col(key).cast("long").alias("node"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     # Only the texts of candidates are shuffled.
     texts = marked(texts, "node", settle(bitmap(members, "node")), "wanted").where("wanted")
-    rows = members.join(texts, ["node", "th"]).select("component", "size", F.col("node").alias("key"), "text")
-    met = _in_blocks(rows, "component", "size", GROUP_BLOCK, "key")
+    rows = members.join(texts, ["node", "th"]).select("component", "size", "texts", F.col("node").alias("key"), "text")
+    met = _in_blocks(rows, "component", "size", GROUP_BLOCK, "key", "texts")
     confirmed = met.select("component", "i", "j", "mine", "key", "text").mapInArrow(
         lambda it: _confirmed(it, shingle, percent), "a bigint, b bigint"
     )

@@ -50,6 +50,29 @@ def op2_odd_sketch_near_copies(spark, sf_dir):
     return near_copies.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85)
 
 
+ORACLE["op2_odd_sketch_near_copies"] = r"""
+WITH RECURSIVE
+lists AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 3 THEN list_transform(generate_series(1, len(words) - 2), lambda i: words[i : i + 2])
+                                      WHEN len(words) > 0 THEN [words] ELSE [] END) AS shingle
+  FROM lists),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a),
+least AS (SELECT a AS doc_id, least(a, min(b)) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 SURROGATE_KEY = "corpus-surrogates"
 
 
