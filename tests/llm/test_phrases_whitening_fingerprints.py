@@ -49,8 +49,8 @@ def mined(df, **options):
     return sorted(map(tuple, phrases.phrases(df, **options).collect()))
 
 
-@pytest.mark.parametrize("budget", [phrases.BUDGET, 64])
-def test_phrases_equal_counting_all_windows(spark, monkeypatch, budget):
+@pytest.mark.parametrize("budget,max_words,top", [(phrases.BUDGET, 3, 2000), (64, 3, 2000), (64, 4, 7), (64, 2, 2000)])
+def test_phrases_equal_counting_all_windows(spark, budget, max_words, top):
     """With the small budget, words and word pairs are heavy and the groups are many."""
     rng = np.random.default_rng(5)
     words = ["the", "of", "a", "x", "Ünder", "Big", "bang", "Q"]
@@ -59,12 +59,9 @@ def test_phrases_equal_counting_all_windows(spark, monkeypatch, budget):
         some = rng.choice(words, size=rng.integers(0, 80), p=[0.4, 0.2, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05])
         texts.append("".join(w + str(rng.choice([" ", "  ", "\t", ", ", ".", "\n", " "], p=[0.7, 0.05, 0.05, 0.05, 0.05, 0.05, 0.05])) for w in some))
     rows = [([None, "en", "und", "fr"][i % 4], t) for i, t in enumerate(texts)] + [("en", None), (None, ""), ("xx", "  "), ("en", texts[1]), ("en", texts[1])]
-    monkeypatch.setattr(phrases, "HELD", 50)
-    monkeypatch.setattr(phrases, "HELD_WORDS", 5)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
-    for max_words, top in ((3, 2000), (4, 7), (2, 2000)):
-        want = plain_phrases(rows, max_words, 3, 50, top)
-        assert want and mined(df, max_words=max_words, min_count=3, top=top, budget=budget) == want
+    want = plain_phrases(rows, max_words, 3, 50, top)
+    assert want and mined(df, max_words=max_words, min_count=3, top=top, budget=budget) == want
 
 
 def test_phrases_of_odd_documents(spark):
