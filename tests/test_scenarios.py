@@ -1,5 +1,7 @@
 """Scenario draws and the tables built on them."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,4 +184,4 @@ def test_no_cross_join_in_the_scenario_job(spark, schedule, strengths):
     rows = N.simulate_results(N.scenario_expand(schedule, 50), strengths, MODEL, 12.0, 3)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert plan.count("Exchange ") == 1
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) == 1  # shuffles, whatever deals them out
