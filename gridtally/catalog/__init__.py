@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import answers, models, relations, rows, scenarios  # noqa: F401
+    from . import answers, chain, models, relations, rows, scenarios  # noqa: F401

@@ -17,7 +17,7 @@ from ..plans import strength as T
 from ..sources import fixtures as fx
 from ..sources.shared import shared_folder
 from . import query, scenarios
-from .models import _preseason
+from .models import _of_seventeen, _preseason
 from .views import least_squares, rd, rounded, sql
 
 _TEAM = "id, game_id, season, game_type, week, div_game, \"set\", team, score, result, win, wins, game_num, reg_wins, tot_wins, tot_games"
@@ -140,10 +140,9 @@ def strength_table(spark, d):
     games = fx.games(spark, d)
     preseason = _preseason(spark, d)
     first = T.preseason_model(preseason)
-    history = H.team_game_history(games, codes={})
-    # A team of the stand-in games plays hundreds in a season, so their number is no factor here.
-    second = T.strength_model(T.strength_inputs(history, preseason, first), factors=["week"])
-    table = T.strength_table(preseason, first, T.current_state(games, None, 12), second)
+    history = _of_seventeen(H.team_game_history(games, codes={}), games)
+    second = T.strength_model(T.strength_inputs(history, preseason, first))
+    table = T.strength_table(preseason, first, _of_seventeen(T.current_state(games, None, 12), games), second)
     return rounded(C.derive_cols(table, alpha=F.col("strength_dist.alpha"), beta=F.col("strength_dist.beta")).drop("strength_dist"), 4)
 
 

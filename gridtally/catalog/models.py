@@ -8,6 +8,7 @@ from ..operators import aggregate as A
 from ..operators import features as X
 from ..operators import fit as M
 from ..operators import relate as R
+from ..operators.ordered import attach
 from ..plans import history as H
 from ..plans import ratings as P
 from ..plans import strength as T
@@ -349,6 +350,13 @@ def _strength_inputs(spark, d):
     return R.prior_period_join(rows, final, ["team"], "final_wp", "initial_rating")
 
 
+def _of_seventeen(rows, games):
+    """``game_num`` on a scale of 1 to 17 over all the games of the team's season."""
+    lengths = H.team_games(games, codes={}).groupBy("season", "team").agg(F.count(F.lit(1)).alias("season_games"))
+    rows = attach(rows, lengths, ["season", "team"])
+    return rows.withColumn("game_num", F.ceil(F.col("game_num") * 17 / F.col("season_games")).cast("int")).drop("season_games")
+
+
 @query("m12_quasibinomial_smooth_fit")
 def quasibinomial_smooth_fit(spark, d):
     model = T.strength_model(_strength_inputs(spark, d))

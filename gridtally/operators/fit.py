@@ -503,6 +503,45 @@ def default_grid(size: int = 20) -> list[float]:
     return [10.0 ** (-3.0 + 6.0 * i / (size - 1)) for i in range(size)]
 
 
+def fold_values(df: DataFrame, fold: str) -> list[float]:
+    """The folds that occur, in order: 1 to MAX_FOLDS of them and none missing, else an error."""
+    named = [r[0] for r in df.select(F.col(fold).cast("double")).distinct().limit(MAX_FOLDS + 1).collect()]
+    if None in named or not 0 < len(named) <= MAX_FOLDS:
+        raise ValueError(f"{fold} has to have 1 to {MAX_FOLDS} values and none missing")
+    return sorted(named)
+
+
+def _fold_rows(df: DataFrame, target: str, basis: Sequence[Basis], fold: str) -> DataFrame:
+    """Fold, target and packed columns of the complete rows."""
+    keep = [F.col(fold).cast("double").alias("f"), F.col(target).cast("double").alias("y")]
+    return df.select(*keep, *Packing.of(basis).columns()).na.drop("any")
+
+
+def _sums_by_fold(rows: DataFrame, named: Sequence[float], step: Callable, p: int) -> np.ndarray:
+    """The sums of a reweighted step, a row per fold."""
+    folds, one = len(named), p * (p + 1) // 2 + p + 3
+
+    def by_fold():
+        def fn(m):
+            import numpy
+
+            out = numpy.zeros((folds, one))
+            for f, value in enumerate(named):
+                mine = m[m[:, 0] == value]
+                if len(mine):
+                    out[f] = step(mine[:, 1:])
+            return out
+
+        return fn
+
+    return sum_vectors(rows, by_fold, one, folds)
+
+
+def _normal_equations(sums: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    half = p * (p + 1) // 2
+    return _symmetric(sums[:half], p), sums[half : half + p]
+
+
 def grid_search(
     df: DataFrame,
     target: str,
@@ -526,40 +565,18 @@ def grid_search(
     require(df, target, fold)
     grid = list(grid) if grid is not None else default_grid()
     p, c = len(basis) + 1, len(grid)
-    named = [r[0] for r in df.select(F.col(fold).cast("double")).distinct().limit(MAX_FOLDS + 1).collect()]
-    if None in named or not 0 < len(named) <= MAX_FOLDS:
-        raise ValueError(f"{fold} has to have 1 to {MAX_FOLDS} values and none missing")
+    named = fold_values(df, fold)
     if folds is not None and not set(named) <= set(range(1, folds + 1)):
         raise ValueError(f"{fold} has values other than 1 to {folds}")
-    named, folds = sorted(named), len(named)
+    folds = len(named)
     base = smooth_fit(df, target, basis, 1.0, select)
-    packing = Packing.of(basis)
-    design = packing.design()
-    keep = [F.col(fold).cast("double").alias("f"), F.col(target).cast("double").alias("y")]
-    half = p * (p + 1) // 2
-    one = half + p + 3
-    with held(df.select(*keep, *packing.columns()).na.drop("any")) as rows:
-        step = _working(design, base.beta)()
-
-        def by_fold():
-            def fn(m):
-                import numpy
-
-                out = numpy.zeros((folds, one))
-                for f, value in enumerate(named):
-                    mine = m[m[:, 0] == value]
-                    if len(mine):
-                        out[f] = step(mine[:, 1:])
-                return out
-
-            return fn
-
-        parts = sum_vectors(rows, by_fold, one, folds)
+    design = Packing.of(basis).design()
+    with held(_fold_rows(df, target, basis, fold)) as rows:
+        parts = _sums_by_fold(rows, named, _working(design, base.beta)(), p)
         whole = parts.sum(axis=0)
         betas = np.zeros((folds, p, c))
         for f in range(folds):
-            rest = whole - parts[f]
-            gram, right = _symmetric(rest[:half], p), rest[half : half + p]
+            gram, right = _normal_equations(whole - parts[f], p)
             for j, lam in enumerate(grid):
                 betas[f, :, j] = _solve(gram, right, penalty_diagonal(basis, lam, select))[0]
 
@@ -589,6 +606,72 @@ def grid_search(
     )
 
 
+# ------------------------------------------------------------ out-of-fold scoring
+
+
+@dataclass(frozen=True)
+class FoldModels:
+    """A logit-link model of a share for each fold, fitted on the rows of the other folds."""
+
+    basis: tuple[Basis, ...]
+    fold: str
+    named: tuple[float, ...]
+    betas: np.ndarray = field(repr=False)
+
+    def predict(self, df: DataFrame, name: str = "pred") -> DataFrame:
+        """Every row scored by the model that has not seen its fold; NULL where the fold is missing or
+        was not fitted, or a predictor is missing."""
+        require(df, self.fold)
+        packing = Packing.of(self.basis)
+        score = F.pandas_udf(_fold_scorer(packing.design(), self.named, self.betas), "double")
+        packed = F.struct(F.col(self.fold).cast("double").alias("f"), *packing.columns())
+        return df.withColumn(name, score(packed))
+
+
+def _fold_scorer(design, named: Sequence[float], betas: np.ndarray):
+    named, betas = tuple(named), np.array(betas)
+
+    def score(cols: pd.DataFrame) -> pd.Series:
+        import numpy
+        import pandas
+
+        m = cols.to_numpy(dtype="float64", na_value=numpy.nan)
+        out = numpy.full(len(m), numpy.nan)
+        for value, beta in zip(named, betas):
+            mine = m[:, 0] == value
+            out[mine] = 1.0 / (1.0 + numpy.exp(-(design(m[mine, 1:]) @ beta)))
+        return pandas.Series(out).astype("Float64").mask(numpy.isnan(out))
+
+    return score
+
+
+def smooth_fit_without_folds(
+    df: DataFrame,
+    target: str,
+    basis: Sequence[Basis],
+    fold: str = "fold",
+    smoothing: dict[str, float] | float = 0.0,
+    select: float = 0.0,
+) -> FoldModels:
+    """For every fold the model of the other folds: one reweighted step from the fit of all of them.
+
+    The sums of that step are taken once per fold; leaving a fold out is a subtraction and a solve on
+    the driver. The rows are read once more than for the one fit, whatever the number of folds. The
+    step leaves out terms of the second order in what a fold changes.
+    """
+    require(df, target, fold)
+    named, p = fold_values(df, fold), len(basis) + 1
+    if len(named) < 2:
+        raise ValueError(f"{fold} has one value only; without it no rows are left")
+    base = smooth_fit(df, target, basis, smoothing, select)
+    penalty = penalty_diagonal(basis, smoothing, select)
+    with held(_fold_rows(df, target, basis, fold)) as rows:
+        parts = _sums_by_fold(rows, named, _working(Packing.of(basis).design(), base.beta)(), p)
+    whole = parts.sum(axis=0)
+    betas = np.array([_solve(*_normal_equations(whole - part, p), penalty)[0] for part in parts])
+    return FoldModels(tuple(basis), fold, tuple(named), betas)
+
+
 # ------------------------------------------------- random effects of many levels
 
 
