@@ -21,6 +21,7 @@ from ..plans import strength as T
 from ..plans import training as E
 from ..sources import fixtures as fx
 from ..sources import tables as src
+from ..sources.shared import settle
 from . import query, scenarios
 from .answers import _COMPARED, _PART_METRICS, _PARTED, _PREDICTED, _PREGAME, _TERMS
 from .models import _INPUTS, _LAST, _LINE, _logit_steps, _of_seventeen, _preseason
@@ -145,19 +146,19 @@ def _one_rating(spark, d):
 
 def _first(spark, d):
     """The pre-season model of two columns on the training side, evaluated."""
-    rows = stratified_split(_one_rating(spark, d), ["season", "team"], "season", 11)
+    rows = settle(stratified_split(settle(_one_rating(spark, d)), ["season", "team"], "season", 11))
     model = M.binomial_smooth_fit(rows.where(F.col("split") == "train"), "final_wp", _PRE_BASIS, _PENALTY)
     return E.evaluate_preseason(model, rows, fx.season_length(spark, d))
 
 
 def _history(spark, d):
-    return H.team_game_history(fx.games(spark, d), codes={})
+    return settle(H.team_game_history(fx.games(spark, d), codes={}))
 
 
 def _second(spark, d, first, history):
     """The in-season model of two columns on the training side, evaluated."""
-    rated = T.strength_inputs(history, _one_rating(spark, d), first.model)
-    rows = group_split(T.strength_training_rows(rated, **_KEPT), "id", 12)
+    rated = T.strength_inputs(history, first.rows, first.model)
+    rows = settle(group_split(T.strength_training_rows(rated, **_KEPT), "id", 12))
     model = M.quasibinomial_smooth_fit(rows.where(F.col("split") == "train"), "final_wp", _NOW_BASIS, _PENALTY)
     return E.evaluate_strength(model, rows, fx.season_length(spark, d))
 
@@ -222,8 +223,9 @@ _SCORED_HISTORY = f"SELECT r.*, {_share(_NOW_XS)} AS estimated_strength FROM rat
 
 
 def _models(spark, d, history):
+    """The pre-season rows and both models."""
     first = _first(spark, d)
-    return first.model, _second(spark, d, first, history).model
+    return first.rows, first.model, _second(spark, d, first, history).model
 
 
 @query(
@@ -241,8 +243,7 @@ def _models(spark, d, history):
 def model_strengths(spark, d):
     """What each team brings into each game by the two fitted models."""
     history = _history(spark, d)
-    first, second = _models(spark, d, history)
-    rows = T.pregame_strengths(E.scored_history(history, _one_rating(spark, d), first, second))
+    rows = T.pregame_strengths(E.scored_history(history, *_models(spark, d, history)))
     return rounded(rows.select("season", "team", "game_id", "pre_game_strength", "pre_point_mean"))
 
 
@@ -266,8 +267,7 @@ def model_strengths(spark, d):
 def model_margin_metrics(spark, d):
     """The margin model on strengths by the two fitted models."""
     history = _history(spark, d)
-    fit = E.train_margin(history, _one_rating(spark, d), *_models(spark, d, history))
-    return rounded(_parts(fit))
+    return rounded(_parts(E.train_margin(history, *_models(spark, d, history))))
 
 
 def _parts(fit: G.MarginFit):
@@ -299,8 +299,8 @@ def _out_of_fold_text() -> str:
 @query("m13_out_of_fold_ratings", _out_of_fold_text())
 def out_of_fold_ratings(spark, d):
     """Every team-season's pre-season rating by the model that has not seen its fold."""
-    with M.held(kfold(_one_rating(spark, d), ["season", "team"], 11)) as rows:
-        models = M.smooth_fit_without_folds(rows, "final_wp", _PRE_BASIS, "fold", _PENALTY)
+    rows = settle(kfold(_one_rating(spark, d), ["season", "team"], 11))
+    models = M.smooth_fit_without_folds(rows, "final_wp", _PRE_BASIS, "fold", _PENALTY)
     return rounded(models.predict(rows, "initial_rating").select("season", "team", "fold", "initial_rating"))
 
 
@@ -349,8 +349,8 @@ def predict_week(spark, d):
 
 def _whole_chain(spark, d):
     games = fx.games(spark, d)
-    history = E.settle(_of_seventeen(H.team_game_history(games, codes={}), games))
-    inputs = E.settle(_one_rating(spark, d))
+    history = settle(_of_seventeen(H.team_game_history(games, codes={}), games))
+    inputs = settle(_one_rating(spark, d))
     return history, inputs, E.train_strengths(history, inputs, fx.season_length(spark, d), **_KEPT)
 
 
