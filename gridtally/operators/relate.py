@@ -14,6 +14,8 @@ from .ordered import HOT_ROWS, attach, dense_position, group_sum, ordered, runni
 
 # A lookup table is broadcast only when counting it (no further than this) shows it is small.
 BROADCAST_ROWS = 100_000
+# Teams of one scenario that may stand in one map.
+MAP_TEAMS = 1_000
 
 
 def fits_broadcast(dim: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -85,17 +87,33 @@ def role_playing_join(games: DataFrame, dim: DataFrame, dim_key: str, roles: dic
 
 def scenario_inner_join(games: DataFrame, ratings: DataFrame, value: str = "pre_game_strength") -> DataFrame:
     """Attach each side's rating of the same scenario (and season, if both tables have one); games
-    without a rating go."""
+    without a rating go.
+
+    A scenario's ratings become one row with a map by team, so that games are joined, and moved,
+    once for both sides. Where a scenario rates more than MAP_TEAMS teams, or a team twice, each
+    side is a join of its own instead, with the same rows. NULL keys meet nothing; a NULL rating stays.
+    """
     require(games, "sim", "away_team", "home_team")
     require(ratings, "sim", "team", value)
     keys = [c for c in ("season", "sim") if c in games.columns and c in ratings.columns]
+    columns = games.columns
+    rated = ratings.select(*keys, "team", F.col(value).alias("__value")).where(F.col("team").isNotNull())
+    per_team = rated.groupBy(*keys, "team").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per_team.groupBy(*keys).agg(F.count(F.lit(1)).alias("teams"), F.max("n").alias("n"))
+    teams, times = sizes.agg(F.max("teams"), F.max("n")).first()
+    if (teams or 0) <= MAP_TEAMS and (times or 0) <= 1:
+        entries = F.collect_list(F.struct("team", "__value"))
+        games = games.join(rated.groupBy(*keys).agg(F.map_from_entries(entries).alias("__ratings")), keys, "inner")
+        has = [F.coalesce(F.map_contains_key("__ratings", F.col(f"{s}_team")), F.lit(False)) for s in ("away", "home")]
+        own = [F.col("__ratings")[F.col(f"{s}_team")].alias(f"{value}_{s}") for s in ("away", "home")]
+        return games.where(has[0] & has[1]).select(*columns, *own)
     for side in ("away", "home"):
         games = games.join(
-            ratings.select(*keys, F.col("team").alias(f"{side}_team"), F.col(value).alias(f"{value}_{side}")),
+            rated.select(*keys, F.col("team").alias(f"{side}_team"), F.col("__value").alias(f"{value}_{side}")),
             [*keys, f"{side}_team"],
             "inner",
         )
-    return games
+    return games.select(*columns, f"{value}_away", f"{value}_home")
 
 
 def inner_join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridtally.functions.draws import draw_beta, draw_normal
 from gridtally.operators import aggregate as A
+from gridtally.operators import relate as R
 from gridtally.operators import scenario as N
 from gridtally.operators.fit import LinearModel
 from gridtally.plans import reports as Q
@@ -185,3 +186,35 @@ def test_no_cross_join_in_the_scenario_job(spark, schedule, strengths):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert len(re.findall(r"(?<!Broadcast)Exchange ", plan)) == 1  # shuffles, whatever deals them out
+
+
+def _rated(spark, rows):
+    return spark.createDataFrame(rows, "season int, sim long, team string, pre_game_strength double")
+
+
+def test_ratings_of_a_scenario_in_one_map_or_joined_by_side(spark, monkeypatch):
+    games = spark.createDataFrame(
+        [(1, "A", "B", 2022, "g1"), (1, "B", "C", 2022, "g2"), (2, "A", "B", 2022, "g3"), (2, None, "B", 2022, "g4"),
+         (None, "A", "B", 2022, "g5"), (1, "A", "B", 2023, "g6"), (1, "A", "B", 2022, "g1")],
+        "sim long, away_team string, home_team string, season int, game_id string",
+    )
+    ratings = _rated(spark, [(2022, 1, "A", 0.1), (2022, 1, "B", None), (2022, 2, "A", 0.3), (2022, 2, "B", 0.4), (2022, 2, None, 0.5), (2022, None, "A", 0.6), (2022, None, "B", 0.6)])
+    once = lambda: sorted(map(str, R.scenario_inner_join(games, ratings).collect()))
+    mapped = once()
+    monkeypatch.setattr(R, "MAP_TEAMS", 1)
+    assert mapped == once() and len(mapped) == 3
+    monkeypatch.undo()
+    twice = ratings.unionByName(_rated(spark, [(2022, 2, "A", 0.9)]))
+    assert R.scenario_inner_join(games, twice).where("game_id = 'g3'").count() == 2
+    assert R.scenario_inner_join(games, ratings.limit(0)).count() == 0
+
+
+def test_games_move_once_for_both_sides(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        games = spark.range(1000).selectExpr("id % 10 AS sim", "'A' AS away_team", "'B' AS home_team", "id AS game_id")
+        ratings = spark.range(20).selectExpr("id % 10 AS sim", "if(id < 10, 'A', 'B') AS team", "0.5D AS pre_game_strength")
+        plan = R.scenario_inner_join(games, ratings)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2  # the games, and the ratings
