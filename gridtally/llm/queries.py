@@ -127,7 +127,7 @@ def op6_suffix_decontamination(spark, sf_dir):
 @query
 def op7_pseudo_likelihood(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+    scored = pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs, key="doc_id"))
     return scored.select(
         "doc_id", F.col("lm_tokens").alias("n_tokens"), F.col("lm_log_likelihood").alias("log_likelihood"), F.col("lm_mean").alias("mean")
     )

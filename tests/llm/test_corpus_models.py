@@ -1,6 +1,7 @@
 """Severity, pseudo-likelihood, nearest rows, surrogates and the pipeline."""
 
 import math
+import os
 import random
 import re
 
@@ -81,7 +82,7 @@ def test_scores_equal_a_plain_loop(spark, data):
     model = pseudo_likelihood.fit(docs)
     got = {r.doc_id: r for r in pseudo_likelihood.score(docs, model).collect()}
     lex, net = model.lexicon, model.network
-    embed, w1, b1, w2, b2 = (x.astype(float) for x in net.parts)
+    embed, w1, b1, w2, b2, w3, b3 = (x.astype(float) for x in net.parts)
     ids_of = dict(zip(lex.hashes.tolist(), lex.ids.tolist()))
     rows = sorted(docs.where(F.length("text") < 700).collect())[:12]
     for key, text in rows:
@@ -89,11 +90,53 @@ def test_scores_equal_a_plain_loop(spark, data):
         total = 0.0
         for t, i in enumerate(ids):
             around = [ids[t + s] if 0 <= t + s < len(ids) else lex.outside for s in (-2, -1, 1, 2)]
-            logits = np.tanh(np.concatenate([embed[x] for x in around]) @ w1 + b1) @ w2 + b2
-            total += logits[lex.classes[i]] - np.log(np.exp(logits).sum()) + lex.inside[i]
+            hidden = np.tanh(np.concatenate([embed[x] for x in around]) @ w1 + b1)
+            c, m = divmod(i, pseudo_likelihood.MEMBERS)
+            total -= 0.0 if i else lex.rare
+            for z, x in ((hidden @ w2 + b2, c), (hidden @ w3[c] + b3[c], m)):
+                total += z[x] - np.log(np.exp(z).sum())
         assert got[key].lm_tokens == len(ids) and math.isclose(got[key].lm_log_likelihood, total, rel_tol=1e-4)
 
 
+def test_gradient_of_the_window_network():
+    rng = np.random.default_rng(4)
+    lex = pseudo_likelihood.Lexicon.build(np.arange(300, dtype=np.uint64), np.arange(300, 0, -1), 50_000, 500)
+    net = pseudo_likelihood.Network(pseudo_likelihood.Network.start(lex).params.astype(np.float64))
+    net.params += 0.1 * rng.standard_normal(len(net.params))
+    target = rng.integers(0, 300, 40)
+    around = np.append(rng.integers(0, 300, (39, 4)), [[lex.outside] * 4], axis=0)
+    grad = net.gradient(around, target)
+    for at in np.flatnonzero(grad)[:: max(1, np.count_nonzero(grad) // 60)].tolist():
+        value = []
+        for step in (1e-5, -2e-5):
+            net.params[at] += step
+            value.append(-net.log_probability(around, target).mean())
+        net.params[at] += 1e-5
+        assert math.isclose((value[0] - value[1]) / 2e-5, grad[at], rel_tol=1e-2, abs_tol=1e-6)
+
+
+def test_registered_settings_beat_the_unigram_model_on_held_out_documents(spark, data):
+    # The tables next to the small ones: a vocabulary of 4,095 words needs some text.
+    docs = spark.read.parquet(f"{os.path.dirname(data)}/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    model = pseudo_likelihood.fit(docs.where("doc_id % 5 > 0"), key="doc_id")
+    lex, gain, n = model.lexicon, 0.0, 0
+    for row in pseudo_likelihood.score(docs.where("doc_id % 5 = 0"), model).collect():
+        ids = lex.look_up(words(pa.array([row.text])))
+        gain += row.lm_log_likelihood - (lex.unigram[ids] - np.where(ids == 0, lex.rare, 0.0)).sum()
+        n += len(ids)
+    print(f"held-out gain over the unigram model: {gain / n:.3f} a token, {n} tokens")
+    assert gain / n > 0.3
+
+
+def test_model_does_not_depend_on_the_layout(spark, data, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_TOKENS", 4096)
+    monkeypatch.setattr(pseudo_likelihood, "FAN_IN", 3)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    one = pseudo_likelihood.fit(docs.coalesce(1), key="doc_id", rounds=1)
+    many = pseudo_likelihood.fit(docs.orderBy(F.desc("doc_id")).repartition(8), key="doc_id", rounds=1)
+    assert np.array_equal(one.params, many.params) and (one.params != pseudo_likelihood.Network.start(one.lexicon).params).any()
+
+
 def test_training_uses_both_sides_and_all_levels(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "FAN_IN", 2)
     rng = random.Random(1)
