@@ -124,6 +124,43 @@ def op6_suffix_decontamination(spark, sf_dir):
     )
 
 
+# Windows of words as strings, joined; runs of neighbouring windows along a diagonal are the matches.
+_ITEM_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+ORACLE["op6_suffix_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (
+  SELECT row_number() OVER () AS k, item, w, least(len(w), {decontaminate.WINDOW}) AS need
+  FROM (SELECT DISTINCT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+p AS (
+  SELECT k, item, need, i, string_agg(word, ' ') OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND need - 1 FOLLOWING) AS g
+  FROM (SELECT k, item, need, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM b)
+  QUALIFY count(*) OVER (PARTITION BY k) - need + 1 >= i),
+q AS (
+  SELECT r, need, i, string_agg(word, ' ') OVER (PARTITION BY r, need ORDER BY i ROWS BETWEEN CURRENT ROW AND need - 1 FOLLOWING) AS g
+  FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) CROSS JOIN (SELECT DISTINCT need FROM b)
+  QUALIFY count(*) OVER (PARTITION BY r, need) - need + 1 >= i),
+m AS (SELECT q.r, p.k, p.item, p.need, q.i, q.i - p.i AS diagonal FROM q JOIN p USING (need, g)),
+hit AS (
+  SELECT r, count(DISTINCT place) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + need)) AS place FROM (SELECT DISTINCT r, i, need FROM m)) GROUP BY r),
+item AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item FROM m) GROUP BY r),
+run AS (
+  SELECT r, max(n) AS longest
+  FROM (SELECT r, count(*) + any_value(need) - 1 AS n
+        FROM (SELECT *, i - row_number() OVER (PARTITION BY r, k, diagonal ORDER BY i) AS start FROM m)
+        GROUP BY r, k, diagonal, start)
+  GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::INTEGER AS longest_match
+FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r) LEFT JOIN run USING (r)
+"""
+
+
 @query
 def op7_pseudo_likelihood(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
