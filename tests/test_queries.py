@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from compare import connect, difference
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
