@@ -138,8 +138,8 @@ def _metrics(source: str, truth: str, estimate: str, key: str) -> str:
 # ----------------------------------------------------------------------- plans
 
 
-def _one_rating(spark, d):
-    return _preseason(spark, d).groupBy("season", "team").agg(
+def _one_rating(spark, d, games=None):
+    return _preseason(spark, d, games).groupBy("season", "team").agg(
         *[F.max(c).alias(c) for c in ("prev_season_wp", "elo", "final_wp")]
     )
 
@@ -348,10 +348,11 @@ def predict_week(spark, d):
 
 
 def _whole_chain(spark, d):
-    games = fx.games(spark, d)
+    # Read by every counting pass, aggregate and window below; joined once.
+    games = settle(fx.games(spark, d))
     history = settle(_of_seventeen(H.team_game_history(games, codes={}), games))
-    inputs = settle(_one_rating(spark, d))
-    return history, inputs, E.train_strengths(history, inputs, fx.season_length(spark, d), **_KEPT)
+    inputs = settle(_one_rating(spark, d, games))
+    return history, inputs, E.train_strengths(history, inputs, fx.season_length(spark, d, games), **_KEPT)
 
 
 @query("o12_model_rmse_by_week")

@@ -126,9 +126,10 @@ def tensor_interaction(spark, d):
     return rounded(rows.select("game_id", *[b.column.alias(f"t{i}") for i, b in enumerate(basis, start=1)]), 9)
 
 
-def _preseason(spark, d):
-    final = H.season_final_table(fx.games(spark, d), codes={})
-    return P.preseason_inputs(final, fx.ratings(spark, d), codes={})
+def _preseason(spark, d, games=None):
+    games = fx.games(spark, d) if games is None else games
+    final = H.season_final_table(games, codes={})
+    return P.preseason_inputs(final, fx.ratings(spark, d, games), codes={})
 
 
 _TEAMS = [f"NATION_{i}" for i in range(25)]

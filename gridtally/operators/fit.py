@@ -206,10 +206,12 @@ def sum_vectors(df: DataFrame, make: Callable[[], Callable], size: int, keys: in
     """Sums of fixed-length vectors computed from Arrow batches: ``keys`` of them, a row each.
 
     ``make()`` gives a function from a float matrix (rows x columns of ``df``) to a matrix of
-    ``keys`` x ``size``. Each task adds up its batches and emits a vector for each key. While a key
-    has more than FAN vectors, tasks of their own add up to about the root of their number (but no
-    fewer than FAN) each, key by key, and so on; the driver adds the last few. What reaches any one
+    ``keys`` x ``size``. Each task adds up its batches and emits a vector for each key. Tasks of their
+    own add up to about the root of their number (but no fewer than FAN) each, key by key, and so on
+    while a key has more than FAN vectors; the driver adds the last few. What reaches any one
     process is bounded by the size and the root of the number of tasks, not by the number of rows.
+    The driver fetches one partition after the other, so the rows are read before a shuffle: all
+    their tasks run at once, and only sums are left to be fetched.
     """
     fn = make()
 
@@ -237,11 +239,13 @@ def sum_vectors(df: DataFrame, make: Callable[[], Callable], size: int, keys: in
         yield pyarrow.RecordBatch.from_arrays([pyarrow.array(list(totals), pyarrow.int32()), pyarrow.array(rows, pyarrow.binary())], ["k", "v"])
 
     partials, left, place = df.mapInArrow(part, "k int, v binary"), df.rdd.getNumPartitions(), F.spark_partition_id()
-    while left > FAN:
+    enough = 1
+    while left > enough:
         width = -(-left // max(FAN, math.isqrt(left)))
         slots = partials.withColumn("slot", (F.pmod(place, F.lit(width)) * keys + F.col("k")).cast("int"))
         partials = slots.repartitionById(width * keys, "slot").select("k", "v").mapInArrow(merge, "k int, v binary")
         left, place = width, F.floor(F.spark_partition_id() / keys)  # a task of a level holds one key
+        enough = FAN
     out = np.zeros((keys, size))
     for row in partials.toLocalIterator():
         out[row["k"]] += np.frombuffer(bytes(row["v"]), dtype="float64")

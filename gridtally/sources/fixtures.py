@@ -68,8 +68,9 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = games(spark, sf_dir)
+def ratings(spark: SparkSession, sf_dir: str, g: DataFrame | None = None) -> DataFrame:
+    """From the games, or from ``g`` where they are stored."""
+    g = games(spark, sf_dir) if g is None else g
     return g.select(
         F.col("game_date").alias("date"),
         "season",
@@ -132,10 +133,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def season_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+def season_length(spark: SparkSession, sf_dir: str, g: DataFrame | None = None) -> DataFrame:
     """Games per season: 16 before 2001, 17 from 2001; one row per season present."""
     return (
-        games(spark, sf_dir)
+        (games(spark, sf_dir) if g is None else g)
         .select("season")
         .distinct()
         .withColumn("games", F.when(F.col("season") < 2001, 16).otherwise(17))

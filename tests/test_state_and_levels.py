@@ -68,6 +68,20 @@ def test_vectors_of_many_tasks_are_added_in_levels(spark, monkeypatch):
     assert M.sum_vectors(df.limit(0), make, 2, 5).tolist() == [[0, 0]] * 5
 
 
+def test_sums_read_all_partitions_in_one_job(spark):
+    def make():
+        return lambda m: np.array([[m[:, 0].sum()]])
+
+    sc, df = spark.sparkContext, spark.range(0, 1_200, 1, 12).selectExpr("double(id) AS x")
+    sc.setJobGroup("few partitions", "sums")
+    try:
+        assert M.sum_vectors(df, make, 1).tolist() == [[sum(range(1_200))]]
+    finally:
+        sc.setJobGroup("", "")
+    # The pass over the rows, and the fetch of the one partition of sums; not a job for each partition.
+    assert len(sc.statusTracker().getJobIdsForGroup("few partitions")) <= 3
+
+
 # Random effects -------------------------------------------------------------------------------------
 
 
