@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.strict import strict_mean, strict_sd, strict_share
 from ..sources.shared import settle
 from .columns import require
-from .ordered import HOT_ROWS, attach, group_sum, ordered, running_sum
+from .ordered import HOT_ROWS, attach, group_sum, ordered, previous, running_sum
+
+#: Multiples of a step that are opened from one row.
+STRETCH = 4096
 
 
 def week_mean_sd(df: DataFrame, keys: Sequence[str] = ("season", "week"), value: str = "score") -> DataFrame:
@@ -111,30 +114,18 @@ def scenario_cdf(
     The (season, team, wins) histogram is made first: one row per distinct total however many
     scenarios there are. Running sums over it give both shares. n takes the totals that occur, or
     with ``max_wins`` (a number, or a table with one per season) every multiple of ``step`` from 0
-    up to it as well; totals beyond it count for the shares, and are not shown.
+    up to it; totals beyond it count for the shares, and are not shown. The multiples are opened
+    from the histogram's rows, so that those of a team need not be sorted or held together.
     """
     keys = [*_period(totals), "team"]
     require(totals, *keys, "wins")
     place = F.round(F.col("wins") / step).cast("bigint")
-    hist = totals.groupBy(*keys, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    hist = settle(totals.groupBy(*keys, place.alias("place")).agg(F.count(F.lit(1)).alias("n")))
+    places = ordered(hist, keys, ["place"], hot_rows)
+    rows = places.running(upto=running_sum("n"), all=group_sum("n"), before=previous("place")).frame
     if max_wins is not None:
-        hist = settle(hist)
-        grid = hist.select(*keys).distinct()
-        if isinstance(max_wins, DataFrame):
-            of = [k for k in max_wins.columns if k in keys]
-            # One row a season; without seasons there is one row, which has nothing to be joined on.
-            grid = grid.join(max_wins, of) if of else grid.withColumn("max_wins", max_wins.select("max_wins").scalar())
-        else:
-            grid = grid.withColumn("max_wins", F.lit(max_wins))
-        top = F.round(F.col("max_wins") / step).cast("bigint")
-        grid = grid.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), top)).alias("place"))
-        filled = grid.withColumns({"n": F.lit(0).cast("bigint"), "shown": F.lit(True)})
-        hist = hist.withColumn("shown", F.lit(False)).unionByName(filled)
-        hist = hist.groupBy(*keys, "place").agg(F.sum("n").alias("n"), F.max("shown").alias("shown"))
-    else:
-        hist = hist.withColumn("shown", F.lit(True))
-    rows = ordered(hist, keys, ["place"], hot_rows).running(upto=running_sum("n"), all=group_sum("n")).frame
-    return rows.where("shown").select(
+        rows = _on_grid(settle(rows), keys, max_wins, step)
+    return rows.select(
         *keys,
         (F.col("place") * F.lit(step)).alias("wins"),
         ((F.col("upto") - F.col("n")) / F.col("all")).alias("under_prob"),
@@ -142,6 +133,40 @@ def scenario_cdf(
     )
 
 
+def _on_grid(rows: DataFrame, keys: list[str], max_wins: int | DataFrame, step: float) -> DataFrame:
+    """(keys, place, n, upto, all) of every place from 0 to the top: a row of a total that occurs stands
+    for the places since the total before it, at which nothing is added, and for its own."""
+    zero = F.lit(0).cast("bigint")
+    tops = rows.groupBy(*keys).agg(F.max("place").alias("last"), F.max("all").alias("all"))
+    if isinstance(max_wins, DataFrame):
+        of = [k for k in max_wins.columns if k in keys]
+        # One row a season; without seasons there is one row, which has nothing to be joined on.
+        highest = max_wins.groupBy(*of).agg(F.max("max_wins").alias("max_wins"))
+        tops = tops.join(highest, of) if of else tops.withColumn("max_wins", max_wins.select("max_wins").scalar())
+    else:
+        tops = tops.withColumn("max_wins", F.lit(max_wins))
+    tops = settle(tops.withColumn("top", F.round(F.col("max_wins") / step).cast("bigint")))
+    known = attach(rows, tops.select(*keys, "top"), keys, "inner")
+
+    def ranges(df: DataFrame, low, high, n, upto) -> DataFrame:
+        low, high = F.greatest(low, zero), F.least(high, F.col("top"))
+        return df.select(*keys, low.alias("low"), high.alias("high"), n.alias("n"), upto.alias("upto"), "all").where("low <= high")
+
+    own, upto, place = F.col("n"), F.col("upto"), F.col("place")
+    since = F.coalesce(F.col("before") + 1, zero)
+    found = ranges(known.where(place >= 0), place, place, own, upto)
+    gaps = ranges(known.where(place >= 0), since, place - 1, zero, upto - own)
+    after = ranges(tops, F.coalesce(F.col("last") + 1, zero), F.col("top"), zero, F.col("all"))
+    pieces = found.unionByName(gaps).unionByName(after)
+    low, high = F.col("low"), F.col("high")
+    pieces = pieces.withColumn("low", F.explode(F.sequence(low, high, F.lit(STRETCH)))).withColumn("high", F.least(high, low + (STRETCH - 1)))
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # A given number, or the few rows would be put in one task, which would open them all.
+    dealt = pieces.repartition(tasks, *keys, "low")
+    return dealt.select(*keys, F.explode(F.sequence(low, high)).alias("place"), "n", "upto", "all")
+
+
 def scenario_overall(
     teams: DataFrame,
     keys: Sequence[str] = ("conf", "division", "team"),

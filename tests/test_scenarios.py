@@ -162,6 +162,21 @@ def test_totals_and_shares_go_by_season(spark):
     assert blocked.keys() == got.keys() and all(blocked[k] == pytest.approx(got[k]) for k in got)
 
 
+def test_the_grid_of_totals_is_not_sorted_by_team(spark):
+    rows = [("A", float(w)) for w in (3, 3, 9_000, 20_000)] + [("B", None), ("B", 0.5), (None, 2.0), ("C", None)]
+    totals = spark.createDataFrame([(s, t, w) for s, (t, w) in enumerate(rows)], "sim int, team string, wins double")
+    cdf = A.scenario_cdf(totals, max_wins=10_000)
+    got = {(r["team"], r["wins"]): (r["under_prob"], r["over_prob"]) for r in cdf.collect()}
+    assert set(got) == {(t, i / 2) for t in ("A", "B", "C", None) for i in range(20_001)} and cdf.count() == 4 * 20_001
+    at = {2.5: (0, 1), 3.0: (0, 0.5), 3.5: (0.5, 0.5), 8_999.5: (0.5, 0.5), 9_000.0: (0.5, 0.25), 10_000.0: (0.75, 0.25)}
+    assert {w: got["A", w] for w in at} == at
+    # A total that is not known comes before all others.
+    assert (got["B", 0.0], got["B", 0.5], got["B", 1.0]) == ((0.5, 0.5), (0.5, 0.0), (1.0, 0.0))
+    assert got["C", 0.0] == (1.0, 0.0) and got[None, 2.0] == (0.0, 0.0) and got[None, 1.5] == (0.0, 1.0)
+    plan = cdf._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Window" not in plan and "Sort [" not in plan.split("Generate", 1)[0]
+
+
 def test_weekly_and_team_projections(spark):
     rows = [(s, "REG", 2, "A", "B", 7 if s < 7 else -3) for s in range(10)]
     rows += [(s, "REG", 2, "C", "D", 7 if s < 4 else -3) for s in range(10)]
