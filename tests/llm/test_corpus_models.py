@@ -137,6 +137,31 @@ def test_model_does_not_depend_on_the_layout(spark, data, monkeypatch):
     assert np.array_equal(one.params, many.params) and (one.params != pseudo_likelihood.Network.start(one.lexicon).params).any()
 
 
+def test_documents_are_dealt_once_and_states_are_floats(spark, data, monkeypatch, tmp_path):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_TOKENS", 4096)
+    monkeypatch.setattr(pseudo_likelihood, "FAN_IN", 3)
+    made, average, persist = [], pseudo_likelihood._average, type(spark.range(1)).persist
+    monkeypatch.setattr(pseudo_likelihood, "_average", lambda s, n: made.append((s.limit(1).first(), n)) or average(s, n))
+    kept = []
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, level: kept.append(df.columns) or persist(df, level))
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    model = pseudo_likelihood.fit(docs, key="doc_id", rounds=2)
+    assert kept == [["place", "ids"]] and [n for _, n in made] == [made[0][1]] * 2 and made[0][1] > 3
+    assert all(len(s["state"]) == 2 * 4 * len(model.params) for s, _ in made)
+
+
+def test_large_exponents_are_shifted():
+    lex = pseudo_likelihood.Lexicon.build(np.arange(300, dtype=np.uint64), np.arange(300, 0, -1), 50_000, 500)
+    net = pseudo_likelihood.Network.start(lex)
+    around, target = np.random.default_rng(3).integers(0, 300, (50, 4)), np.arange(50) * 5
+    net.parts[4][:] += 500.0  # all classes alike, so that probabilities stay
+    assert not pseudo_likelihood._is_safe(*net.parts[3:5]) and pseudo_likelihood._is_safe(*net.parts[5:])
+    moved, grad = net.log_probability(around, target), net.gradient(around, target).copy()
+    net.parts[4][:] -= 500.0
+    assert moved == pytest.approx(net.log_probability(around, target), abs=1e-3) and np.isfinite(grad).all()
+    assert grad == pytest.approx(net.gradient(around, target), abs=1e-3)
+
+
 def test_training_uses_both_sides_and_all_levels(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "FAN_IN", 2)
     rng = random.Random(1)
