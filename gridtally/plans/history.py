@@ -127,4 +127,5 @@ def season_final_table(
 
 def team_levels(games: DataFrame, codes: Mapping[str, str] = GAME_TEAM_CODES) -> DataFrame:
     """Teams numbered by first appearance (season, week, game, away before home)."""
-    return level_table(team_games(games, codes=codes), "team", ["season", "week", "game_id", "set"])
+    levels = level_table(team_games(games, codes=codes), "team", ["season", "week", "game_id", "set"])
+    return levels.withColumn("ord", F.col("ord").cast("int"))
