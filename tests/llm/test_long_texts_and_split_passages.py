@@ -36,6 +36,58 @@ def test_documents_meet_though_the_halves_of_their_passage_occur_earlier(spark):
     assert [(r["doc_id"], r["other_id"], r["words"]) for r in found(spark, rows) if r["words"] >= 80] == [(40, 20, 80)]
 
 
+def test_documents_meet_though_all_seeds_of_their_edited_passage_occur_earlier_apart(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    filler = lambda: own_words(rng, 60)
+    rows, wanted = [], set()
+    for t in range(12):
+        shared = own_words(rng, 78)
+        edited = [w if i % 26 != 25 else own_words(rng, 1)[0] for i, w in enumerate(shared)]
+        # Each part between edits occurs earlier in a text of its own, and the two documents follow.
+        rows += [(1000 * t + i, " ".join(filler() + shared[26 * i : 26 * i + 25] + filler())) for i in range(3)]
+        rows += [(1000 * t + 10, " ".join(filler() + shared + filler())), (1000 * t + 11, " ".join(filler() + edited + filler()))]
+        wanted.add((1000 * t + 11, 1000 * t + 10))
+    monkeypatch.setattr(passages, "PAIRED", 1)
+    got = found(spark, rows)
+    links = {(r["doc_id"], r["other_id"]) for r in got}
+    # Every link that all pairs of equal seeds give; few chains are broken by their gaps.
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    seeds = passages.seeds(docs, "doc", "text").selectExpr("seed", "doc other", "pos other_pos")
+    match = passages.seeds(docs, "doc", "text").join(seeds, "seed").where("other < doc").select("doc", "other", "pos", "other_pos")
+    plain = passages._passages(docs, match, passages.MIN_WORDS, passages.MIN_IDENTITY).collect()
+    assert links == {(r["doc"], r["other"]) for r in plain} <= wanted and len(links) >= 10
+    assert min(r["words"] for r in got) >= 50 and max(r["words"] for r in got) >= 77
+
+
+def test_a_common_short_line_and_short_copies_are_not_aligned(spark):
+    rng = np.random.default_rng(6)
+    line, copy = own_words(rng, 36), " ".join(own_words(rng, 40))
+    rows = [(i, " ".join(own_words(rng, 40) + line + own_words(rng, 40))) for i in range(30)]
+    rows += [(100 + i, copy) for i in range(30)] + [(200, None), (201, ""), (202, " ".join(line))]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    runs = passages.repeated_seeds(passages.seeds(docs, "doc", "text"))
+    none = spark.createDataFrame([], "doc long, start long, end long, other long")
+    assert runs.count() >= 120 and passages.every_pair(docs, runs, none, 50).count() == 0
+    assert passages.every_pair(docs, runs, none, 30).select("doc", "other").distinct().count() == 2 * 30 * 29 // 2 + 30
+
+
+def plain_goes_on(a, b):
+    n = next((i for i in range(len(a)) if a[i] != b[i] or not a[i]), len(a))
+    return n, any(a[n + p : n + p + 4] == b[n + q : n + q + 4] and 0 not in a[n + p : n + p + 4] for p in range(5) for q in range(5))
+
+
+def test_words_beyond_a_key_equal_a_plain_loop():
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 4, (300, passages.AROUND)).astype(np.uint32)
+    b = np.where(rng.random(a.shape) < 0.1, 9, a).astype(np.uint32)
+    for x in (a, b):
+        x[np.arange(passages.AROUND) >= rng.integers(0, 90, 300)[:, None]] = 0
+    n, more = passages._goes_on(a, b)
+    plain = [plain_goes_on(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    assert n.tolist() == [p[0] for p in plain]
+    assert all(m == p[1] or i > passages.AROUND - 8 for i, m, p in zip(n, more.tolist(), plain)) and 30 < more.sum() < 270
+
+
 def uncovered(rows, got, n=50):
     """Windows of n words that an earlier document has and no passage of theirs covers, and their number."""
     first, missed, windows = {}, 0, 0
