@@ -17,6 +17,7 @@ from gridtally.plans import ratings as P
 from gridtally.plans import strength as T
 from gridtally.sources import fixtures as fx
 from gridtally.sources import tables as src
+from gridtally.sources.shared import settle
 
 
 @pytest.fixture(scope="module")
@@ -250,3 +251,46 @@ def test_whole_training_and_scoring_path(spark, data):
     assert margin.model.sigma > 0 and margin.resamples.count() == 3
     inputs.unpersist()
     history.unpersist()
+
+
+def _ties(spark):
+    """Games of five team-seasons, one without a team, and 0 to 40 ratings of each; some values are missing."""
+    u = lambda k: unit_hash("id", seed=k) % 10_000 / 1_000
+    team = F.when(F.col("id") % 5 > 0, F.concat(F.lit("t"), F.col("id") % 5))
+    keys = [F.lit(2000).alias("season"), team.alias("team")]
+    names = [c for c in T.STRENGTH_SMOOTHS if c not in ("game_num", "initial_rating")]
+    values = [F.when(F.col("id") % 97 != k, u(k)).alias(c) for k, c in enumerate(names)]
+    wins = (F.floor(u(30)) / 10 + F.col("id") % 5 / 20).cast("double").alias("final_wp")
+    games = spark.range(400).select(*keys, wins, *values, (F.col("id") % 7).alias("week"), (F.col("id") % 11).alias("game_num"))
+    rated = spark.range(90).where("id % 5 > 1 or id < 60").where("id % 5 <> 3").select(*keys, F.when(F.col("id") % 31 > 0, u(40) / 10).alias("initial_rating"))
+    return games, rated.unionByName(spark.createDataFrame([(2001, "t1", 0.5)], rated.schema))
+
+
+def test_fit_on_ties_equals_the_fit_on_their_joined_rows(spark, monkeypatch):
+    games, rated = (settle(df) for df in _ties(spark))
+    joined = games.join(rated, games.season.eqNullSafe(rated.season) & games.team.eqNullSafe(rated.team), "left")
+    joined = joined.drop(rated.season, rated.team)
+    wanted = T.strength_model(joined, n_knots=1, factors=["week"])
+    monkeypatch.setattr(M, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(M, "CELLS", 200)
+    keys = ["season", "team"]
+    counts, rows = M.pair_counts(games, rated, keys)
+    assert rows == joined.count() > 10 * 400
+    same = M.joined_smooth_fit(games, rated, keys, counts, "final_wp", wanted.basis, select=0.1, smoothing=1.0, quasi=True)
+    assert (same.n, same.steps, same.basis) == (wanted.n, wanted.steps, wanted.basis)
+    assert (same.deviance, same.dispersion, same.edf) == pytest.approx((wanted.deviance, wanted.dispersion, wanted.edf), rel=1e-8)
+    assert same.beta == pytest.approx(wanted.beta, rel=1e-6, abs=1e-8)
+    assert np.allclose(same.cov, wanted.cov, rtol=1e-6, atol=1e-10)
+    # Its own knots are exact, those of the joined rows approximate.
+    own = T.strength_model(games, n_knots=1, factors=["week"], rated=rated, hot_rows=0)
+    assert (own.n, [b.name for b in own.basis]) == (wanted.n, [b.name for b in wanted.basis])
+    assert own.deviance == pytest.approx(wanted.deviance, rel=1e-4)
+
+
+def test_weighted_smooths_are_those_of_repeated_rows(spark):
+    rows = spark.range(300).select((unit_hash("id", seed=3) % 1000 / 7).alias("a"), (F.col("id") % 9).alias("b"), (F.col("id") % 4).alias("times"))
+    repeated = rows.where("times > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    found, wanted = M.weighted_smooths(rows, ["a", "b"], "times", 4), X.find_smooths(repeated, ["a", "b"], 4)
+    for n in ("a", "b"):
+        assert (found[n].center, found[n].scale) == pytest.approx((wanted[n].center, wanted[n].scale), rel=1e-12)
+        assert found[n].knots == pytest.approx(wanted[n].knots, abs=2e-6)
