@@ -88,6 +88,60 @@ def test_words_beyond_a_key_equal_a_plain_loop():
     assert all(m == p[1] or i > passages.AROUND - 8 for i, m, p in zip(n, more.tolist(), plain)) and 30 < more.sum() < 270
 
 
+def rows_around(rng, n):
+    """Rows of a few keys as ``_around`` makes them: sides that are alike up to a word, and after it."""
+    base = rng.integers(1, 9, (4, 2, passages.AROUND)).astype(np.uint32)
+    out = []
+    for doc in range(n):
+        key, sides = int(rng.integers(2)), []
+        for side in range(2):
+            x = base[rng.integers(4) if rng.random() < 0.3 else 0, side].copy()
+            at, size = int(rng.integers(0, 70)), int(rng.integers(6, 90))
+            if rng.random() < 0.7:
+                x[at : at + 2] = rng.integers(1, 99, 2)[: len(x[at : at + 2])]
+            if rng.random() < 0.5:
+                x[at:] = rng.integers(100, 9999, len(x[at:]))
+            if rng.random() < 0.3:
+                x[at + 1 :] = np.roll(x, int(rng.integers(-3, 4)))[at + 1 :]
+            x[size:] = 0
+            sides.append(x.tobytes())
+        first, mid = int(rng.integers(90)), int(rng.choice([1, 2, 3, 20]))
+        last = first + int(rng.choice([20, 60, passages.FAR, passages.FAR + 9]))
+        out.append((key, n, doc, None if rng.random() < 0.8 else int(rng.integers(3)), first, last, mid, 1 << 30, *sides))
+    return out
+
+
+@pytest.mark.parametrize("min_words", [20, 50, 90, 140])
+def test_documents_of_a_common_key_meet_as_if_all_pairs_were_looked_at(spark, min_words):
+    rows = rows_around(np.random.default_rng(min_words), 150)
+    around = spark.createDataFrame(rows, passages.AROUND_KEY).repartition(3)
+    pairs = passages._paired(around, "key", 64).mapInArrow(
+        lambda it: passages._hopeful(it, min_words), "doc bigint, other bigint, first int, last int, other_first int, other_last int"
+    )
+    plain = sorted(tuple(r) for r in pairs.collect())
+    got = sorted(tuple(r) for r in passages._by_signs(around, min_words).collect())
+    assert got == plain and 50 < len(got) < 10_000
+
+
+def test_pairs_with_nothing_in_common_around_a_common_line_are_not_made(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    line = own_words(rng, 20)
+    rows = [(i, " ".join(own_words(rng, 40) + line + own_words(rng, 40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    made, paired = [], passages._paired
+
+    def counted(*given):
+        made.append(paired(*given).count())
+        return paired(*given)
+
+    monkeypatch.setattr(passages, "FEW", 1)
+    monkeypatch.setattr(passages, "_paired", counted)
+    runs = passages.repeated_seeds(passages.seeds(docs, "doc", "text"))
+    none = spark.createDataFrame([], "doc long, start long, end long, other long")
+    assert passages.every_pair(docs, runs, none, 50).count() == 0 and runs.count() >= 120
+    assert len(made) == 3 and sum(made) == 0  # all pairs would be 1,770
+
+
 def uncovered(rows, got, n=50):
     """Windows of n words that an earlier document has and no passage of theirs covers, and their number."""
     first, missed, windows = {}, 0, 0
