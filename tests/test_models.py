@@ -287,6 +287,87 @@ def test_fit_on_ties_equals_the_fit_on_their_joined_rows(spark, monkeypatch):
     assert own.deviance == pytest.approx(wanted.deviance, rel=1e-4)
 
 
+def _some_sides():
+    smooths = {n: X.Smooth(n, 0.0, 1.0, (-0.5, 0.6)) for n in ("own", "game_num", "initial_rating")}
+    basis = [b for s in smooths.values() for b in X.spline_basis(s)]
+    basis += X.tensor_interaction(smooths["initial_rating"], smooths["game_num"]) + X.factor_basis("week", [1, 2, 3])
+    return M._Sides.of(basis, {"initial_rating"}), basis
+
+
+def test_joined_step_does_not_weigh_all_pairs(monkeypatch):
+    """A step over 20,000 x 400 rows that share five game numbers takes sums at places of its own, and they are those of all pairs."""
+    draw = np.random.default_rng(3)
+    sides, basis = _some_sides()
+    assert sides.left.numbers == ("own", "game_num") and len(sides.own) > 4
+    n = 20_000
+    left = np.column_stack([draw.uniform(0, 1, n).round(1), draw.normal(size=n), draw.integers(0, 5, n) - 2.0, draw.integers(1, 4, n)])
+    left[:30, 1] *= 20  # linear predictors beyond the bound, which are clipped
+    left[30:60, 2] = draw.normal(size=30)  # and numbers of games that no other row has
+    right, beta = draw.normal(size=(400, 1)), draw.normal(size=len(basis) + 1) * 0.1
+    weighed, sums = [], M._sums_over_right
+
+    def counted(weights, *rest):
+        weighed.append(len(weights))
+        return sums(weights, *rest)
+
+    monkeypatch.setattr(M, "_sums_over_right", counted)
+    found = M._joined_working(sides, beta)()([(left, right)])
+    assert 60 <= sum(weighed) < n / 4
+    weighed.clear()
+    monkeypatch.setattr(M, "NODES", 10**9)
+    wanted = M._joined_working(sides, beta)()([(left, right)])
+    assert sum(weighed) == n
+    assert found[-1] == wanted[-1] == n * 400
+    assert np.allclose(found[:-3], wanted[:-3], rtol=1e-9, atol=1e-11 * np.abs(wanted[:-3]).max())
+    assert found[-3:] == pytest.approx(wanted[-3:], rel=1e-11)
+    # The same sums from rows of model columns.
+    left = left[60:110]
+    rows = np.column_stack([np.repeat(left, 400, axis=0), np.tile(right, (50, 1))])
+    monkeypatch.undo()
+    packing = X.Packing.of(basis)
+    order = [("y", "own", "game_num", "week", "initial_rating").index(c) for c in ("y", *packing.numbers, *packing.labels)]
+    plain = M._working(packing.design(), beta)()(rows[:, order])
+    assert np.allclose(M._joined_working(sides, beta)()([(left, right)]), plain, rtol=1e-9, atol=1e-11 * np.abs(plain).max())
+
+
+def test_strengths_of_ties_equal_those_of_their_joined_rows(spark, monkeypatch):
+    games, rated = (settle(df) for df in _ties(spark))
+    second = T.strength_model(games, n_knots=1, factors=["week"], rated=rated)
+    keys = ["season", "team"]
+    counts, n = M.pair_counts(games, rated, keys)
+    wanted = second.predict_with_se(M.attach(games, rated, keys)).select(*keys, "pred", "std_error")
+    monkeypatch.setattr(M, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(M, "OPEN_ROWS", 17)
+    monkeypatch.setattr(M, "CELLS", 200)
+    found = M.joined_predict_with_se(second, games, rated, keys, counts)
+    assert found.schema.simpleString() == wanted.schema.simpleString()
+    order = [F.col(c).asc_nulls_first() for c in (*keys, "pred", "std_error")]
+    found, wanted = (df.orderBy(*order).collect() for df in (found, wanted))
+    assert len(found) == len(wanted) == n and any(r["pred"] is None for r in found) and any(r["team"] is None for r in found)
+    for a, b in zip(found, wanted):
+        assert tuple(a)[:2] == tuple(b)[:2]
+        assert tuple(a)[2:] == (None, None) if b["pred"] is None else tuple(a)[2:] == pytest.approx(tuple(b)[2:], rel=1e-7)
+
+
+def test_strength_table_is_the_same_above_hot_rows(spark):
+    inputs = spark.createDataFrame(
+        [(2000, t, 0.4 + 0.01 * k, 1300.0 + 40.0 * k + 7.0 * i, 0.35 + 0.05 * k) for i, t in enumerate("abcd") for k in range(6)],
+        "season int, team string, prev_season_wp double, elo double, final_wp double",
+    )
+    first = M.binomial_smooth_fit(inputs, "final_wp", [X.Basis("elo", (X.Part("elo", 1400.0, 100.0),))], 1.0)
+    games, rated = _ties(spark)
+    second = T.strength_model(games, n_knots=1, factors=["week"], rated=rated)
+    state = games.where("team is null or team <> 't4'").withColumn("team", F.translate("team", "t123", "abc"))
+    few, many = (T.strength_table(inputs, first, state, second, hot_rows=n).collect() for n in (5_000_000, 0))
+    assert len(few) == len(many) > 400 and few[0].asDict().keys() == many[0].asDict().keys()
+    shown = lambda r: [-1.0 if r[c] is None else r[c] for c in ("season", "team", "elo", "estimated_strength", "alpha", "beta")]
+    strengths = [r["estimated_strength"] for r in many if r["estimated_strength"] is not None]
+    assert strengths == sorted(strengths, reverse=True) and all(r["estimated_strength"] is None for r in many[len(strengths) :])
+    place = lambda r: [str(r["team"]), shown(r)[3]]
+    for a, b in zip(sorted(few, key=place), sorted(many, key=place)):
+        assert shown(a)[:3] == shown(b)[:3] and shown(a)[3:] == pytest.approx(shown(b)[3:], rel=1e-6)
+
+
 def test_weighted_smooths_are_those_of_repeated_rows(spark):
     rows = spark.range(300).select((unit_hash("id", seed=3) % 1000 / 7).alias("a"), (F.col("id") % 9).alias("b"), (F.col("id") % 4).alias("times"))
     repeated = rows.where("times > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))

@@ -167,6 +167,19 @@ def test_strict_aggregates(spark):
     assert got["c"] == (2.0, None, 2.0, 1.0)
 
 
+def test_round_decimals_is_round(spark):
+    """On halves, values next to them, and values up to those without places, of either sign."""
+    u = F.rand(5)
+    ties = (F.floor(u * 20_000_001) / 10_000 + 0.00005) * F.element_at(F.array(*[F.lit(10.0**k) for k in range(0, 13, 3)]), (F.col("id") % 5 + 1).cast("int"))
+    x = F.when(F.col("id") % 3 == 0, ties).otherwise((u - 0.5) * F.pow(F.lit(10.0), F.col("id") % 17 - 2))
+    x = F.when(F.col("id") % 7 == 0, x + x * 1.1e-16 * (F.col("id") % 5 - 2)).otherwise(x)
+    odd = spark.createDataFrame([(v,) for v in (None, float("nan"), float("inf"), 0.0, -0.00001, 0.00005, -2.00005, 0.99996, 1e300)], "x double")
+    rows = spark.range(200_000).select(x.alias("x")).unionByName(odd)
+    for digits in (0, 4, 6):
+        same = F.round("x", digits).eqNullSafe(S.round_decimals("x", digits))
+        assert rows.where(~same).limit(3).collect() == []
+
+
 def test_round_away(spark):
     df = spark.createDataFrame([(-2.3,), (0.0,), (1.2,), (None,), (-4.0,)], "x double")
     assert [r[0] for r in df.select(S.round_away("x")).collect()] == [-3.0, 0.0, 2.0, None, -4.0]
